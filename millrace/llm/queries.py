@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Weights that the sources of a mixture take in turn.
@@ -28,6 +28,32 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), list(MIX_WEIGHTS)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def crc_mod(column: str, modulus: int) -> Column:
+    """crc32 of an id as text; null for a null id."""
+    return F.crc32(F.col(column).cast("string")) % modulus
+
+
+def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.ppm import score_corpus
+
+    return score_corpus(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) != 1)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.langid import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, learn(docs, crc_mod("id", 4) != 2))
+    return found.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op6_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.kmeans_tree import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.packing import pack_documents
 
@@ -49,6 +75,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
+    "op4_ppm": op4_ppm,
+    "op5_language_id": op5_language_id,
+    "op6_kmeans_tree": op6_kmeans_tree,
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
     "op10_license_scan": op10_license_scan,
