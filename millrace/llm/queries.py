@@ -22,6 +22,28 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+#: Rules of the URL filter, fixed values.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled outcomes are the labels of the same id; a page is bad if toxic or of low quality."""
+    from millrace.llm.url_reputation import judge_urls
+
+    bad = (F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), bad.alias("bad"))
+    return judge_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+
+
+def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.reply_trees import format_trees, linear, read_back
+
+    said = "<|im_end|><|im_start|>assistant ok"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe)
+    return read_back(format_trees(linear(turns))).withColumnRenamed("tree_id", "conv_id")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.mixing import mix_sources
 
@@ -74,6 +96,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_reputation": op1_url_reputation,
+    "op2_reply_trees": op2_reply_trees,
     "op3_mixing": op3_mixing,
     "op4_ppm": op4_ppm,
     "op5_language_id": op5_language_id,
