@@ -76,6 +76,12 @@ def op6_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.near_dedup import duplicate_classes
+
+    return duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.packing import pack_documents
 
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ppm": op4_ppm,
     "op5_language_id": op5_language_id,
     "op6_kmeans_tree": op6_kmeans_tree,
+    "op7_near_dedup": op7_near_dedup,
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
     "op10_license_scan": op10_license_scan,
