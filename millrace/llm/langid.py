@@ -127,6 +127,9 @@ class Model:
     def label(self, texts: list[bytes], switch: float):
         """Yield (lang, score, spans) of each text; spans are (first byte, last byte + 1, lang)."""
         n = len(texts)
+        if not self.langs:
+            yield from [(UNKNOWN, 0.0, [])] * n
+            return
         held = {"rows": [], "scores": [], "starts": [], "ends": [], "size": 0}
 
         def flush(last: int):
