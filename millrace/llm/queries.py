@@ -114,4 +114,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLES: dict[str, str] = {}
+_RAW = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+_HOST = "regexp_extract(rest, '^[^/?#]*')"
+
+
+def _rules_sql() -> str:
+    cases = [(v, r, r.partition("/")) for v, r in sorted(URL_RULES, key=lambda x: -len(x[1]))]
+    fits = lambda p: f"(host = '{p[0]}' OR ends_with(host, '.{p[0]}')) AND starts_with(path, '/{p[2]}')"
+    both = [" ".join(f"WHEN {fits(p)} THEN '{(v, r)[i]}'" for v, r, p in cases) for i in (0, 1)]
+    return f"CASE {both[1]} END AS rule, CASE {both[0]} END AS given"
+
+
+def _spread_sql(source: str) -> str:
+    return f"""(SELECT coalesce(greatest(1.0, least(1000.0, avg(CASE WHEN n > 0 THEN mean * (1 - mean) END) / greatest((sum(CASE WHEN n > 0 THEN n * (bad / n - mean) * (bad / n - mean) END) - sum(CASE WHEN n > 0 THEN mean * (1 - mean) END))
+        / nullif(sum(n) - sum(n * n) / nullif(sum(n), 0), 0), 1e-9) - 1)), 1000.0) FROM {source})"""
+
+
+#: The rest can't be said in SQL: random rounding, tokens, sketches, tries, trees and decoders are tested by brute force.
+ORACLES: dict[str, str] = {
+    "op1_url_reputation": f"""WITH own AS (SELECT page_id, translate({_HOST}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(substr(rest, length({_HOST}) + 1), '^[^?#]*'), '') AS path FROM (SELECT page_id, coalesce({_RAW}, '') AS rest FROM pages)),
+    marks AS (SELECT doc_id, max(CASE WHEN coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
+    hosts AS (SELECT host, list_aggregate(list_slice(string_split(host, '.'), -2, -1), 'string_agg', '.') AS domain, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad FROM own LEFT JOIN marks ON page_id = doc_id GROUP BY 1, 2),
+    domains AS (SELECT domain, string_split(domain, '.')[-1] AS suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1, 2),
+    suffixes AS (SELECT suffix, n, bad, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM domains) AS mean FROM (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY 1)),
+    suffix_means AS (SELECT suffix, (bad + s * mean) / (n + s) AS mean FROM suffixes, (SELECT {_spread_sql('suffixes')} AS s)),
+    domain_rows AS (SELECT domain, n, bad, mean FROM domains JOIN suffix_means USING (suffix)),
+    domain_means AS (SELECT domain, (bad + s * mean) / (n + s) AS mean FROM domain_rows, (SELECT {_spread_sql('domain_rows')} AS s)),
+    host_rows AS (SELECT host, n, bad, mean FROM hosts JOIN domain_means USING (domain)),
+    rates AS (SELECT host, n, n + s AS total, (bad + s * mean) / (n + s) AS rate FROM host_rows, (SELECT {_spread_sql('host_rows')} AS s)),
+    judged AS (SELECT page_id, host, path, {_rules_sql()}, CAST(n AS BIGINT) AS n_labelled, rate, greatest(0.0, rate - 1.645 * sqrt(rate * (1 - rate) / (total + 1))) AS bound FROM own JOIN rates USING (host))
+    SELECT page_id, host, path, rule, coalesce(given, CASE WHEN bound > 0.25 THEN 'block' ELSE 'allow' END) AS verdict, n_labelled, round(rate, 6) AS bad_rate, round(bound, 6) AS bad_bound FROM judged""",
+}
