@@ -36,6 +36,7 @@ MAILBOX_WORDS: dict[str, tuple[str, ...]] = {
     "security": ("security", "infosec", "abuse", "vulnerability", "vulnerabilities", "vulns", "psirt", "soc", "cert", "bugbounty", "disclosure"),
     "privacy": ("privacy", "dpo", "gdpr", "dataprotection", "dsar", "ccpa"),
 }
+# Mailboxes of departments.
 DEPARTMENT_WORDS = (
     "people", "team", "teams", "billing", "invoices", "invoice", "accounts", "accounting", "finance", "payments", "ap", "ar",
     "legal", "compliance", "trust", "safety", "moderation", "copyright", "dmca", "marketing", "events", "event", "webinars",
@@ -44,6 +45,7 @@ DEPARTMENT_WORDS = (
     "subscribe", "unsubscribe", "noreply", "no-reply", "donotreply", "postmaster", "webmaster", "hostmaster", "admin", "root",
     "abuse-desk", "orders", "shipping", "returns", "refunds", "bookings", "reservations",
 )
+# The order of categories, and mailboxes that come first.
 CATEGORY_ORDER = ("contact", "sales", "support", "info", "partnerships", "press", "careers", "security", "privacy", "other")
 PREFERRED_PREFIXES = ("contact", "sales", "support", "hello", "info", "help", "press", "partnerships", "security", "privacy", "careers", "jobs", "team")
 # Substrings that no address of a person or mailbox has.
@@ -55,12 +57,15 @@ SENIORITY: tuple[tuple[str, ...], ...] = (
     ("svp", "evp", "vp", "vice president"), ("head of", "director"), ("principal", "staff ", "lead ", "manager", "general counsel"),
 )
 UNTITLED = 99
+# Words that tell nothing in names of people, names of companies, job titles, and results.
 NAME_NOISE = ("jr", "sr", "ii", "iii", "iv", "phd", "mba", "md", "dr", "mr", "ms", "mrs", "prof", "the")
 COMPANY_STOP = ("the", "inc", "llc", "ltd", "labs", "lab", "group", "technologies", "tech", "software", "systems", "solutions", "company", "corp", "io", "ai", "app", "com", "co", "get", "try", "hq", "cloud", "digital", "studio", "agency")
 ROLE_STOP = ("the", "and", "for", "our", "team", "with", "from", "all", "new", "global", "senior", "lead", "head", "staff", "member", "manager", "director")
 NO_ROLE = ("linkedin", "profile", "profiles", "experience", "education", "home", "sign in", "log in", "view profile", "posts", "activity")
+# Endings of paths that are no pages, and statuses that a rendered fetch may get around.
 NON_HTML = ("pdf", "zip", "png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "css", "js", "json", "xml", "mp4", "mp3", "woff", "woff2", "ttf", "dmg", "exe", "pkg", "deb", "rpm", "tar", "gz")
 ESCALATE_STATUSES = (401, 403, 405, 406, 429, 500, 502, 503, 520, 521, 522, 530)
+# Characters of thin, of substantial, and of enough text; weights of the score.
 THIN_CHARS, SUBSTANTIAL_CHARS, LEAST_CHARS = 600, 800, 200
 SCORE_WEIGHTS = {"overview": 0.18, "audience": 0.18, "emails": 0.16, "team": 0.28, "profiles": 0.12, "titles": 0.08}
 BLEND = {"completeness": 0.50, "coverage": 0.20, "evidence": 0.15, "validation": 0.15}

@@ -84,6 +84,7 @@ def build_prompts(sites: DataFrame, settings: Settings) -> DataFrame:
     """Adds ``prompt`` from domain, pages (ordered (url, text)), emails, profiles, companies."""
     listed = lambda c, n: F.when(F.size(c) > 0, F.array_join(F.transform(F.slice(c, 1, n), lambda x: F.concat(F.lit("- "), x)), "\n")).otherwise("- (none found)")
     clips = F.transform(budget_pages(F.col("pages"), settings.max_chars_per_page, settings.max_chars_per_domain), lambda p: F.concat(F.lit("--- PAGE: "), p["url"], F.lit(" ---\n"), p["text"]))
+    # fixed values: the headings of the prompt
     parts = F.array(
         F.concat(F.lit("COMPANY DOMAIN: "), "domain", F.lit("\n")),
         F.concat(F.lit("VERIFIED EMAILS (parsed from the HTML - the only ones you may use):\n"), listed(F.col("emails"), 25)),
