@@ -50,28 +50,38 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return [(_unescape_role(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
-def pointers(nodes: DataFrame) -> list[DataFrame]:
-    """Tables of the ancestors 1, 2, 4, ... replies above, by self-joins of one with itself; the last reaches every root.
+def pointers(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables of the ancestors 1, 2, 4, ... replies above, by self-joins, and the way to the root of every message.
 
-    Each has (tree, node, up, steps, mass): steps to ``up`` or, where ``up`` is null, to the root; mass is the score on
-    the way, ``up`` excluded. Nodes on or below a cycle never reach a root, and are left out of the last one.
+    A table has (tree, node, up) of the messages that are deep enough; only these are joined again, so that a few deep
+    trees don't make the others take part in their rounds. The second result has (tree, node, steps, mass): messages on
+    the way to the root and the sum of their scores. Messages on or below a cycle never reach a root and are left out.
     """
     present = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     first = nodes.join(present, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("mass"))
-    found = [kept(first, "pointers")]
-    total = None
+    state = kept(first, "pointers")
+    done, open_, levels = [state.filter("up is null")], state.filter("up is not null"), []
+    most = None
     while True:
-        state = found[-1]
-        open_ = state.filter("up is not null").count()
-        if not open_:
-            return found
-        total = total or state.groupBy("tree").count().agg(F.max("count")).first()[0]
-        if 1 << (len(found) - 1) > total:
-            found.append(state.filter("up is null"))
-            return found
-        above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("mass").alias("rest"))
-        far = state.join(above, ["tree", "up"], "left").select("tree", "node", F.col("next").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("mass") + F.coalesce("rest", F.lit(0.0))).alias("mass"))
-        found.append(kept(far, "pointers"))
+        left = open_.count()
+        if not left:
+            break
+        levels.append(open_.select("tree", "node", "up"))
+        most = most or open_.groupBy("tree").count().agg(F.max("count")).first()[0]
+        if 1 << (len(levels) - 1) > most:
+            break  # only cycles are left
+        ended = done[0]
+        for part in done[1:]:
+            ended = ended.unionByName(part)
+        above = ended.unionByName(open_).select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("mass").alias("rest"))
+        far = open_.join(above, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("mass") + F.col("rest")).alias("mass"))
+        state = kept(far, "pointers")
+        done.append(state.filter("up is null"))
+        open_ = state.filter("up is not null")
+    whole = done[0]
+    for part in done[1:]:
+        whole = whole.unionByName(part)
+    return levels, whole.select("tree", "node", "steps", "mass")
 
 
 def branches(nodes: DataFrame, top: int | None = None) -> DataFrame:
@@ -80,17 +90,15 @@ def branches(nodes: DataFrame, top: int | None = None) -> DataFrame:
     ``nodes`` has tree, node, parent, score. A message whose parent is null or absent is a root. Branches are ranked in
     their tree by mean score, ties by the smaller leaf; ``top`` of them are chosen, or all.
     """
-    levels = pointers(nodes)
-    parents = levels[0].filter("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    leaves = levels[-1].join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), (F.col("mass") / F.col("steps")).alias("score"))
+    levels, ways = pointers(nodes)
+    if levels:
+        ways = ways.join(levels[0].select("tree", F.col("up").alias("node")).distinct(), ["tree", "node"], "left_anti")
+    leaves = ways.select("tree", F.col("node").alias("leaf"), (F.col("mass") / F.col("steps")).alias("score"))
     order = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
     leaves = leaves.withColumn("rank", F.row_number().over(order))
     leaves = leaves if top is None else leaves.filter(F.col("rank") <= top)
     paths = leaves.select("*", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("back"))
-    for k, level in enumerate(levels):
-        if k and not level.filter("up is not null").take(1):
-            break
-        step = level.filter("up is not null").select("tree", "node", "up")
+    for k, step in enumerate(levels):
         above = paths.join(step, ["tree", "node"]).select("tree", "leaf", "score", "rank", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back"))
         paths = kept(paths.select(above.columns).unionByName(above), "paths")
     return paths
