@@ -236,9 +236,9 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, ids: str = "
 
     def run(batches):
         for batch in batches:
-            found = list(shared.value.label(texts_of(batch, "text"), switch))
+            found = list(shared.value.label(texts_of(batch, "__text"), switch))
             spans = pa.array([[{"start": a, "end": b, "lang": k} for a, b, k in x[2]] for x in found], spans_type)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), spans], names=[ids, *keep, "lang_pred", "score", "spans"])
 
-    wanted = docs.select(ids, *keep, docs[text].alias("text"))
+    wanted = docs.select(ids, *keep, docs[text].alias("__text"))
     return wanted.mapInArrow(run, ", ".join(f"`{k}` {v}" for k, v in kinds.items()) + ", " + SCHEMA)

@@ -190,7 +190,7 @@ def test_language_id(spark, docs, rows, none):
     frame = spark.createDataFrame(given, "doc_id long, text string, lang string")
     model = langid.learn(frame, F.col("id") % 4 != 2)
     assert model.langs == ["ru", "xx", "yy"] and len(set(model.scripts.tolist())) == 2
-    found = langid.identify(frame, model, keep=["lang"]).collect()
+    found = langid.identify(frame, model, keep=["lang", "text"]).collect()
     assert all(r.lang == r.lang_pred and r.score == 1 for r in found)
     mixed = say("xx", 20) + ". " + say("yy", 30) + " " + say("ru", 10)
     row = langid.identify(spark.createDataFrame([(1, mixed)], "doc_id long, text string"), model).first()
