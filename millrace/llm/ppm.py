@@ -13,8 +13,8 @@ from millrace.llm._text import PIECE, groups, hashed_words, kept, mix, texts_of
 
 #: Context bytes of the trie's deepest nodes.
 ORDER = 5
-#: Rows of the lookup tables up to which they are broadcast (12 to 16 bytes each); beyond, blocks of text fetch theirs.
-BROADCAST_ROWS = 8_000_000
+#: Rows of the lookup tables up to which they are broadcast (12 bytes each); beyond, blocks of text fetch theirs.
+BROADCAST_ROWS = 6_000_000
 #: Text bytes of a block on that other path.
 BLOCK_BYTES = 8 << 20
 #: Entries a task holds before it passes counts on.
@@ -101,8 +101,8 @@ def symbol_keys(texts: list[bytes], order: int):
 class Counter:
     """Counts of 64-bit keys with bounded memory: what exceeds it is passed on and summed elsewhere."""
 
-    def __init__(self, kind: int):
-        self.kind, self.parts, self.size = kind, [], 0
+    def __init__(self, kind: int, held: int = 0):
+        self.kind, self.held, self.parts, self.size = kind, held, [], 0
 
     def add(self, keys: np.ndarray, weight: int = 1):
         if len(keys):
@@ -127,7 +127,7 @@ class Counter:
                 self.parts, self.size = [], 0
                 for i in range(0, len(keys), 1 << 19):
                     own = keys[i : i + (1 << 19)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), self.kind, np.int32)), pa.array(own.view(np.int64)), pa.array(counts[i : i + (1 << 19)].astype(np.int64))], names=["kind", "key", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), self.kind, np.int32)), pa.array(own.view(np.int64)), pa.array(counts[i : i + (1 << 19)].astype(np.int64)), pa.array(np.full(len(own), self.held, np.int32))], names=["kind", "key", "n", "held"])
 
 
 class Lookup:
@@ -161,12 +161,13 @@ def _sum_by(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, np.cumsum(counts) - counts)
 
 
-def score_texts(texts: list[bytes], words: Lookup, grams: Lookup, totals: dict, order: int):
-    """(tokens, known tokens, base score, score) of each text."""
+def score_texts(texts: list[bytes], learnt: np.ndarray, words: Lookup, grams: Lookup, totals: dict, order: int):
+    """(tokens, known tokens, base score, score) of each text; words that are missing stand once if it was learnt, else never."""
     n, known, base, score = np.ones(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
     mass = totals["tokens"] + 0.5 * (totals["distinct"] + 1)
     for first, last, hashes, counts in hashed_words(texts):
         seen = words.get(hashes)
+        seen = np.where(seen < 0, np.repeat(learnt[first:last], counts), seen)
         n[first:last] += counts
         known[first:last] += _sum_by((seen > 0).astype(float), counts).astype(np.int64)
         base[first:last] += _sum_by(np.log10((seen + 0.5) / mass), counts)
@@ -245,23 +246,26 @@ def score_corpus(docs: DataFrame, train: Column, order: int = ORDER, ids: str =
     rows = docs.select(docs[ids], docs[text].alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
 
     def count(batches):
-        words, grams = Counter(WORD), Counter(GRAM)
+        words, others, grams = Counter(WORD), Counter(WORD, 1), Counter(GRAM)
         for batch in batches:
             texts, learns = texts_of(batch, "text"), batch.column(2).to_pylist()
             for wanted in (True, False):
                 own = [t for t, yes in zip(texts, learns) if yes == wanted]
-                for _, _, hashes, _ in hashed_words(own) if wanted else ():
-                    words.add(hashes)
-                    yield from words.drain(False)
+                tally = words if wanted else others
+                for _, _, hashes, _ in hashed_words(own):
+                    tally.add(hashes, int(wanted))
+                    yield from tally.drain(False)
                 for _, _, keys, _ in symbol_keys(own, order):
                     grams.add(keys, int(wanted))
                     yield from grams.drain(False)
-        yield from words.drain(True)
-        yield from grams.drain(True)
-
-    counted = kept(rows.select(ids, "text", "train").mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    words = counted.filter(f"kind = {WORD}").select("key", F.col("n").cast("double").alias("value"))
-    sums = counted.filter(f"kind = {WORD}").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        for tally in (words, others, grams):
+            yield from tally.drain(True)
+
+    counted = kept(rows.select(ids, "text", "train").mapInArrow(count, "kind int, key long, n long, held int").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.max("held").alias("held")), "counts")
+    learnt = counted.filter(f"kind = {WORD} and n > 0")
+    # a word of a training row that isn't here stands once, one of a held row never
+    words = learnt.filter("n > 1 or held = 1").select("key", F.col("n").cast("double").alias("value"))
+    sums = learnt.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     n_train = rows.filter("train").count()
     totals = {"texts": n_train, "tokens": sums[1] + n_train, "distinct": sums[0] + (n_train > 0)}
     grams = kept(gram_scores(counted.filter(f"kind = {GRAM}").select("key", "n"), order), "gram-scores")
@@ -269,20 +273,24 @@ def score_corpus(docs: DataFrame, train: Column, order: int = ORDER, ids: str =
     schema = f"`{ids}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def scored(batch: pa.RecordBatch, own: Lookup, own_grams: Lookup) -> pa.RecordBatch:
-        n, known, base, score = score_texts(texts_of(batch, "text"), own, own_grams, totals, order)
-        held = [not x for x in batch.column(batch.schema.get_field_index("train")).to_pylist()]
+        learnt = np.array(batch.column(batch.schema.get_field_index("train")).to_pylist(), bool)
+        n, known, base, score = score_texts(texts_of(batch, "text"), learnt, own, own_grams, totals, order)
+        held = ~learnt
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.bool_()), pa.array(n), pa.array(known), pa.array(np.full(len(n), totals["tokens"], np.int64)), pa.array(base), pa.array(score)], names=names)
 
-    n_rows = sums[0] + grams.count()
+    n_rows = words.count() + grams.count()
     if n_rows <= broadcast_rows:
-        tables = []
+        arrays = []
         for table in (words, grams):
-            whole = table.toArrow()
-            tables.append((whole["key"].to_numpy().view(np.uint64), whole["value"].to_numpy()))
-        shared = spark.sparkContext.broadcast((tables[0][0], tables[0][1].astype(np.float32 if sums[1] < 1 << 24 else np.float64), mix(tables[1][0]), tables[1][1]))
+            whole = table.withColumn("value", F.col("value").cast("float" if table is grams else "int" if sums[1] < 1 << 31 else "double")).toArrow()
+            arrays += [whole["key"].to_numpy().view(np.uint64), whole["value"].to_numpy()]
+            del whole
+        arrays[2] = mix(arrays[2])
+        shared = spark.sparkContext.broadcast(arrays)
+        del arrays
 
         def score(batches):
-            own = Lookup(shared.value[0], shared.value[1], 0.0)
+            own = Lookup(shared.value[0], shared.value[1], -1.0)
             own_grams = Lookup(shared.value[2], shared.value[3], 0.0)
             for batch in batches:
                 yield scored(batch, own, own_grams)
@@ -308,7 +316,7 @@ def score_corpus(docs: DataFrame, train: Column, order: int = ORDER, ids: str =
 
     def answer(block: pa.Table, answers: pa.Table) -> pa.Table:
         which, keys, found = answers["kind"].to_numpy(), answers["key"].to_numpy().view(np.uint64), answers["value"].to_numpy()
-        own = Lookup(keys[which == WORD], found[which == WORD], 0.0)
+        own = Lookup(keys[which == WORD], found[which == WORD], -1.0)
         own_grams = Lookup(mix(keys[which == GRAM]), found[which == GRAM], 0.0)
         out = [scored(b, own, own_grams) for b in block.combine_chunks().to_batches()]
         return pa.Table.from_batches(out) if out else pa.table({n: [] for n in names})
