@@ -231,18 +231,17 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, ids: str =
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], names=["node", "other"])
 
     labels = links = None
-    before = 0
+    todo = pairs
     for most in ROUNDS if stored is not None else ():
-        todo = pairs.filter(F.col("place") > before)
-        if labels is not None:
+        if labels is not None:  # what is joined by now needs no look, in this round or a later one
             for side in ("node", "other"):
                 todo = todo.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")), side, "left")
             todo = kept(todo.filter(F.coalesce("node_label", "node") != F.coalesce("other_label", "other")).select("node", "other", "place"), "todo")
             if not todo.take(1):
                 break
-        if most is not None:
-            todo, before = todo.filter(F.col("place") <= most), most
-        joined = todo.select("node", "other").join(stored.select(F.col("node").alias("other"), F.col("keys").alias("k2"), F.col("counts").alias("n2")), "other").join(stored, "node").select("node", "other", "keys", "counts", "k2", "n2")
+        now = todo if most is None else todo.filter(F.col("place") <= most)
+        todo = todo.filter(F.col("place") > (most or 0))
+        joined = now.select("node", "other").join(stored.select(F.col("node").alias("other"), F.col("keys").alias("k2"), F.col("counts").alias("n2")), "other").join(stored, "node").select("node", "other", "keys", "counts", "k2", "n2")
         new = kept(joined.mapInArrow(verify, "node long, other long"), "links")
         links = new if links is None else links.unionByName(new)
         labels = components(links)
