@@ -1,19 +1,20 @@
 """Vectorised word and shingle hashing over batches of UTF-8 texts.
 
-Everything here runs inside Python workers on plain numpy arrays, a few MB of
+Everything here runs inside Python workers on plain numpy arrays, half a MB of
 text at a time, so that memory stays bounded whatever a partition holds.
 Texts longer than ``PIECE`` are hashed piece by piece, cut at white space.
 """
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 
 import numpy as np
 import pyarrow as pa
 
-PIECE = 2 << 20
+PIECE = 1 << 19
 SHINGLE = 5
 
 #: A word is a run of bytes other than space and \x09-\x0D.
@@ -22,6 +23,9 @@ WHITE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: glibc's release of free heap; null elsewhere.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _POWERS: dict[str, np.ndarray] = {}
@@ -54,7 +58,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
-    """A string column as UTF-8 bytes; null becomes empty."""
+    """A string column as UTF-8 bytes; null becomes empty. What earlier batches used goes back to the system first:
+    workers serve stage after stage, and would else hold the most that any of them took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
     column = batch.column(batch.schema.get_field_index(name))
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [b"" if v is None else v for v in column.cast(kind).to_pylist()]

@@ -146,7 +146,7 @@ class Model:
 
         done, at = 0, {}
         for rows, joined, offsets in joined_groups(texts):
-            if held["size"] > 3 * PIECE and at.get("last") != rows[0]:  # never within a long text
+            if held["size"] > 12 * PIECE and at.get("last") != rows[0]:  # never within a long text
                 yield from flush(int(rows[0]))
             starts, ends, counts, *rest = features(joined, offsets)
             shift = np.repeat(offsets[:-1], counts)

@@ -60,7 +60,7 @@ class WordTokens:
             ids = self.parts.get(part)
             if ids is None:
                 ids = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
-                if len(self.parts) > 400_000:
+                if len(self.parts) > 100_000:
                     self.parts.clear()
                 self.parts[part] = ids
             out += ids
