@@ -14,7 +14,8 @@ BUCKETS, SLICES = 20, 64
 #: Bands of rows: 64 samples. Texts of similarity 0.8 meet in no band with a chance of 0.0002.
 BANDS, ROWS = 16, 4
 THRESHOLD = 0.8
-#: Buckets up to this size are compared in pairs; in larger ones every member meets LEADERS and CENTRES members.
+#: Buckets up to this size are compared in pairs; in larger ones every member meets LEADERS and CENTRES members first,
+#: and what those leave in several classes is searched exactly, by prefixes.
 SMALL, LEADERS, CENTRES = 32, 8, 4
 #: Ids up to this number are broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
@@ -128,12 +129,14 @@ def within(df: DataFrame, ids: DataFrame, on: str, how: str, bound: int = BROADC
     return df.join(F.broadcast(ids) if ids.count() <= bound else ids, on, how)
 
 
-def candidate_pairs(nodes: DataFrame, small: int = SMALL) -> DataFrame:
-    """(node, other, shared): pairs that meet in a bucket, and in how many, from (node, bands).
+def candidate_pairs(nodes: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame | None]:
+    """(node, other, shared): pairs that meet in a bucket, and in how many, from (node, bands); and (key, node) of the
+    larger buckets, if there are any.
 
     A bucket of more than ``small`` members is not paired out: every member meets the leaders (smallest hashes, the same
     in all buckets) and the centres, those that share most buckets with leaders; texts that all others resemble, as the
-    source of a group of copies, come out as centres.
+    source of a group of copies, come out as centres. That joins groups of copies cheaply; the other pairs of these
+    buckets are left to ``prefix_pairs``.
     """
     banded = kept(nodes.select("node", F.explode("bands").alias("key")), "bands")
     sizes = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
@@ -143,7 +146,7 @@ def candidate_pairs(nodes: DataFrame, small: int = SMALL) -> DataFrame:
     pairs = pairs.groupBy("node", "other").agg(F.count("*").alias("shared"))
     many = members.filter(F.col("size") > small).select("key", "node")
     if not many.take(1):
-        return pairs
+        return pairs, None
 
     def led(leaders: DataFrame) -> DataFrame:
         met = many.join(leaders, "key").filter("node <> other")
@@ -155,7 +158,61 @@ def candidate_pairs(nodes: DataFrame, small: int = SMALL) -> DataFrame:
     middle = Window.partitionBy("key").orderBy(F.desc("central"), "node")
     ranked = many.join(central, "node").withColumn("place", F.row_number().over(middle)).filter(F.col("place") <= CENTRES)
     by_centre = led(ranked.select("key", F.col("node").alias("other")))
-    return pairs.unionByName(by_hash).unionByName(by_centre).groupBy("node", "other").agg(F.max("shared").alias("shared"))
+    return pairs.unionByName(by_hash).unionByName(by_centre).groupBy("node", "other").agg(F.max("shared").alias("shared")), many
+
+
+def prefix(keys: np.ndarray, counts: np.ndarray, table: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(elements, whether each is indexed, weight) of a set's prefix: its first elements in an order that all sets
+    share, rarest first.
+
+    Sets of a similarity of ``threshold`` or more, weighted or plain, have a first common element, and at least 2t/(1+t)
+    of the smaller set and t of the larger one stand from it on. So it is an indexed element of the smaller set and an
+    element of the larger one's prefix. The order changes only how many others meet.
+    """
+    own = idf(keys, table).astype(np.float64)
+    order = np.lexsort((keys, -own))
+    longest, indexed = 0, 0
+    for weights in (np.ones(len(keys)), counts * own):
+        left = np.cumsum(weights[order][::-1])[::-1]
+        longest = max(longest, int((left >= left[0] * threshold * (1 - 1e-6)).sum()))
+        indexed = max(indexed, int((left >= left[0] * 2 * threshold / (1 + threshold) * (1 - 1e-6)).sum()))
+    return keys[order[:longest]], np.arange(longest) < indexed, float((counts * own).sum())
+
+
+def prefix_pairs(sets: DataFrame, table, threshold: float) -> DataFrame:
+    """(node, other, shared): all pairs of different labels that can be of ``threshold`` or more, from (node, label,
+    keys, counts), and how many elements of their prefixes they share.
+
+    Members of one label are one row of an element's list, so that a group of copies meets others and not itself."""
+
+    def spread(batches):
+        for batch in batches:
+            nodes, labels, keys, counts = (batch.column(i).to_pylist() for i in range(4))
+            for i in range(len(nodes)):
+                own, n = unpack(keys[i], counts[i])
+                first, indexed, weight = prefix(own, n, table.value, threshold)
+                full = lambda x, kind: pa.array(np.full(len(first), x, kind))  # noqa: B023, E731
+                for at in range(0, len(first), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([x.slice(at, 1 << 16) for x in (pa.array(first.view(np.int64)), full(nodes[i], np.int64), full(labels[i], np.int64), full(len(own), np.int64), full(weight, np.float64), pa.array(indexed))], names=["key", "node", "label", "plain", "weight", "indexed"])
+
+    rows = sets.select("node", "label", "keys", "counts").mapInArrow(spread, "key long, node long, label long, plain long, weight double, indexed boolean")
+    lists = kept(rows.groupBy("key", "label").agg(F.max("indexed").alias("any"), F.collect_list(F.struct("node", "plain", "weight", "indexed")).alias("own")), "lists")
+    shared = lists.groupBy("key").agg(F.count("*").alias("labels"), F.max("any").alias("any")).filter("labels > 1 and any").select("key")
+    lists = kept(lists.join(shared, "key"), "lists")
+    met = lists.alias("a").join(lists.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label")) & (F.col("a.any") | F.col("b.any")))
+    met = met.select(F.explode("a.own").alias("a"), F.col("b.own").alias("own")).select("a", F.explode("own").alias("b"))
+
+    def fits(x: str, y: str):
+        size = lambda by: (F.col(f"{x}.{by}") <= F.col(f"{y}.{by}")) & (F.col(f"{x}.{by}") >= F.col(f"{y}.{by}") * (threshold * (1 - 1e-6)))
+        return F.col(f"{x}.indexed") & (size("plain") | size("weight"))
+
+    met = met.filter(fits("a", "b") | fits("b", "a")).select(F.greatest("a.node", "b.node").alias("node"), F.least("a.node", "b.node").alias("other"))
+    return met.groupBy("node", "other").agg(F.count("*").alias("shared"))
+
+
+def unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    own = np.frombuffer(keys, np.uint64)
+    return own, np.frombuffer(counts, "<u4").astype(np.float64) if counts else np.ones(len(own))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -180,7 +237,8 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, ids: str =
     the components of links. A text of fewer than five words is one shingle.
 
     Passes over the texts: document frequencies, samples, and shingles of candidates alone. Candidates are verified in
-    rounds, best first; pairs that earlier rounds have joined need no look. Texts without words, and null ones, are
+    rounds, best first; pairs that earlier rounds have joined need no look. The texts of large buckets that are still
+    of several classes are then searched for all links among them, by prefixes. Texts without words, and null ones, are
     classes of their own; rows of one id are one document; rows with a null id get their class's smallest id, or null if
     it has none; an empty table gives no rows; other columns are ignored.
     """
@@ -205,7 +263,7 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, ids: str =
 
     sampled = kept(rows.mapInArrow(sample, "id long, h1 long, h2 long, bands array<long>"), "samples")
     texts = kept(sampled.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.first("bands").alias("bands")).withColumn("node", F.coalesce("least", F.col("h1").bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))), "nodes")
-    pairs = candidate_pairs(texts.dropDuplicates(["node"]).select("node", "bands"), small)
+    pairs, many = candidate_pairs(texts.dropDuplicates(["node"]).select("node", "bands"), small)
     best = Window.partitionBy("node").orderBy(F.desc("shared"), "other")
     pairs = kept(pairs.withColumn("place", F.row_number().over(best)), "pairs")
     found = kept(pairs.select("node").unionByName(pairs.select(F.col("other").alias("node"))).distinct(), "found")
@@ -224,27 +282,37 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, ids: str =
     stored = kept(wanted.mapInArrow(sets, "node long, keys binary, counts binary").dropDuplicates(["node"]), "sets") if found.take(1) else None
 
     def verify(batches):
-        unpack = lambda k, n: ((a := np.frombuffer(k, np.uint64)), np.frombuffer(n, "<u4").astype(np.float64) if n else np.ones(len(a)))
         for batch in batches:
             own = [batch.column(i).to_pylist() for i in range(2, 6)]
             ok = [similarity(unpack(a, b), unpack(c, d), shared.value) >= threshold for a, b, c, d in zip(*own)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], names=["node", "other"])
 
-    labels = links = None
-    todo = pairs
-    for most in ROUNDS if stored is not None else ():
-        if labels is not None:  # what is joined by now needs no look, in this round or a later one
-            for side in ("node", "other"):
-                todo = todo.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")), side, "left")
-            todo = kept(todo.filter(F.coalesce("node_label", "node") != F.coalesce("other_label", "other")).select("node", "other", "place"), "todo")
-            if not todo.take(1):
-                break
-        now = todo if most is None else todo.filter(F.col("place") <= most)
-        todo = todo.filter(F.col("place") > (most or 0))
-        joined = now.select("node", "other").join(stored.select(F.col("node").alias("other"), F.col("keys").alias("k2"), F.col("counts").alias("n2")), "other").join(stored, "node").select("node", "other", "keys", "counts", "k2", "n2")
-        new = kept(joined.mapInArrow(verify, "node long, other long"), "links")
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
+    def settle(todo: DataFrame, labels: DataFrame | None, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        for most in ROUNDS:
+            if labels is not None:  # what is joined by now needs no look, in this round or a later one
+                for side in ("node", "other"):
+                    todo = todo.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")), side, "left")
+                todo = kept(todo.filter(F.coalesce("node_label", "node") != F.coalesce("other_label", "other")).select("node", "other", "place"), "todo")
+                if not todo.take(1):
+                    break
+            now = todo if most is None else todo.filter(F.col("place") <= most)
+            todo = todo.filter(F.col("place") > (most or 0))
+            joined = now.select("node", "other").join(stored.select(F.col("node").alias("other"), F.col("keys").alias("k2"), F.col("counts").alias("n2")), "other").join(stored, "node").select("node", "other", "keys", "counts", "k2", "n2")
+            new = kept(joined.mapInArrow(verify, "node long, other long"), "links")
+            links = new if links is None else links.unionByName(new)
+            labels = components(links)
+        return labels, links
+
+    labels = None
+    if stored is not None:
+        labels, links = settle(pairs, None, None)
+        if many is not None:
+            named = many.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+            several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+            left = kept(named.join(several, "key").select("node", "label").distinct(), "left")
+            if left.take(1):
+                rest = prefix_pairs(stored.join(left, "node"), shared, threshold)
+                labels, _ = settle(kept(rest.withColumn("place", F.row_number().over(best)), "pairs"), labels, links)
 
     node_of = texts.select("h1", "h2", "node", "least")
     if labels is not None:

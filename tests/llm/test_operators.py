@@ -297,6 +297,48 @@ def test_near_dedup(spark, docs, rows, none):
         assert [min(j for j in range(len(texts)) if want[j] == want[i]) for i in range(len(texts))] == [found[i] for i in range(len(texts))]
 
 
+def test_near_dedup_pairs_within_a_template_family(spark):
+    """Texts on one template, none a link of another, and near copies of some: their buckets are large, and few of the
+    pairs meet a leader or a centre there."""
+    from millrace.llm.near_dedup import duplicate_classes
+
+    rng = random.Random(11)
+    template, texts = [f"t{i}" for i in range(240)], []
+    own = lambda n: [f"o{rng.random()}" for _ in range(n)]
+    for _ in range(260):
+        texts.append(template + own(40))
+    for i in range(0, 80):
+        words = list(texts[i])
+        words[240:264] = own(24)
+        texts.append(words)
+    texts = [" ".join(w) for w in texts]
+    want = brute_classes(texts)
+    assert sum(want[260 + i] == want[i] for i in range(80)) == 80 and len(set(want)) == 260
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in duplicate_classes(frame).collect()}
+    assert [min(j for j in range(len(texts)) if want[j] == want[i]) for i in range(len(texts))] == [found[i] for i in range(len(texts))]
+
+
+def test_prefixes_meet_wherever_sets_are_similar():
+    from millrace.llm.near_dedup import BUCKETS, prefix, similarity
+
+    rng = np.random.default_rng(4)
+    table = (1 + 0.5 * rng.random(1 << BUCKETS)).astype(np.float32)
+    tried = 0
+    for _ in range(3000):
+        keys = np.sort(rng.integers(0, 2**63, int(rng.integers(1, 60))).astype(np.uint64) * np.uint64(2))
+        sets = []
+        for _ in (0, 1):
+            some = np.sort(np.unique(np.concatenate([keys[rng.random(len(keys)) < 0.95], rng.integers(0, 2**63, int(rng.integers(0, 5))).astype(np.uint64)])))
+            sets.append((some, rng.choice([1, 1, 1, 2, 9], len(some)).astype(float)))
+        if min(len(s[0]) for s in sets) and similarity(*sets, table) >= 0.8:
+            (x, i, v), (y, j, w) = (prefix(*s, table, 0.8) for s in sets)
+            ways = [(len(sets[0][0]), len(sets[1][0])), (v, w)]
+            assert any(len(np.intersect1d(x[i], y)) if a <= b else len(np.intersect1d(x, y[j])) for a, b in ways)
+            tried += 1
+    assert tried > 500
+
+
 def test_consistent_samples_estimate_weighted_similarity():
     from millrace.llm.near_dedup import consistent_samples
 
