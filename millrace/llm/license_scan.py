@@ -1,8 +1,10 @@
-"""License scans: ordered signature rules with a keyword prefilter."""
+"""License scans: ordered signature rules behind literals that their matches must contain."""
 
 from __future__ import annotations
 
 import re
+from re import _constants as sre
+from re import _parser as sre_parser
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ NO_WORD = np.ones(256, bool)
 NO_WORD[48:58] = NO_WORD[65:91] = NO_WORD[97:123] = False
 NO_WORD[128:] = False
 
-#: Rules in order of priority: (label, keyword that must be in the text, score, patterns over lower-cased text).
+#: Rules in order of priority: (label, what it is about, score, patterns over lower-cased text).
 #: Written by hand; `~` stands for a run of white space or punctuation.
 FAMILIES: list[tuple[str, str, float, list[str]]] = [
     # explicit machine-readable tags come first
@@ -152,17 +154,39 @@ FAMILIES: list[tuple[str, str, float, list[str]]] = [
 _GAP = r"[^a-z0-9\x80-\xff]+"
 
 
+def literals(pattern: bytes) -> list[bytes]:
+    """Runs of bytes that every match of a pattern contains, longest first."""
+    runs: list[bytearray] = [bytearray()]
+
+    def walk(items):
+        for op, value in items:
+            if op is sre.LITERAL:
+                runs[-1].append(value)
+            elif op is sre.SUBPATTERN:
+                walk(value[3])
+            elif op is not sre.AT:  # a place takes no byte
+                runs.append(bytearray())
+                if op is sre.MAX_REPEAT and value[0] > 0:
+                    walk(value[2])
+                    runs.append(bytearray())
+
+    walk(sre_parser.parse(pattern))
+    return sorted({bytes(r) for r in runs if r}, key=lambda r: (-len(r), r))
+
+
 class Rules:
-    """Compiled rules, grouped by keyword; ``rules`` in order of priority."""
+    """Compiled rules, grouped by the longest literal that each must find; ``rules`` in order of priority."""
 
     def __init__(self, families=None, base=BASE_PHRASES):
-        self.rules, self.by_keyword = [], {}
-        for label, keyword, score, patterns in families if families is not None else FAMILIES:
+        self.rules, self.by_literal = [], {}
+        for label, _, score, patterns in families if families is not None else FAMILIES:
             for pattern in patterns:
                 # a gap before an optional part may stand for none
                 text = pattern.replace("~?", f"(?:{_GAP})?").replace("~", _GAP)
-                self.by_keyword.setdefault(keyword.encode(), []).append(len(self.rules))
-                self.rules.append((label, score, re.compile(text.encode("latin-1", "ignore") if "©" not in text else text.encode())))
+                source = text.encode("latin-1", "ignore") if "©" not in text else text.encode()
+                first, *others = literals(source) or [b""]
+                self.by_literal.setdefault(first, []).append((len(self.rules), others))
+                self.rules.append((label, score, re.compile(source)))
         word = rb"[0-9a-z\x80-\xff]"
         self.base = [(label, phrase.split()[-1].encode(), phrase.split()[0].encode(), re.compile(rb"(?<!" + word + rb")" + rb"[^0-9a-z\x80-\xff]+".join(w.encode() for w in phrase.split()) + rb"(?!" + word + rb")"), len(phrase.split())) for phrase, label in base]
 
@@ -170,9 +194,9 @@ class Rules:
         """(start, end, label, score) of what stays, by start: a detection that lies within one of higher priority goes,
         and so does one that lies within a longer one."""
         found = []
-        for keyword, places in self.by_keyword.items():
-            if keyword in text:
-                found += [(i, *m.span()) for i in places for m in self.rules[i][2].finditer(text)]
+        for first, places in self.by_literal.items():
+            if first in text:
+                found += [(i, *m.span()) for i, others in places if all(x in text for x in others) for m in self.rules[i][2].finditer(text)]
         return suppress([(i, s, e, self.rules[i][0], self.rules[i][1]) for i, s, e in found])
 
     def base_places(self, text: bytes) -> list[tuple[int, str]]:
@@ -231,7 +255,8 @@ def scan_licenses(docs: DataFrame, ids: str = "doc_id", text: str = "text", rule
     labels (the rules' and the base ones), score (of the surest detection, 1 where a base phrase stands, else 0) and
     detections (byte spans after suppression, label, score).
 
-    One pass over the rows without a shuffle. A rule's regexes run only where its keyword is in the text. Null and empty
+    One pass over the rows without a shuffle. A rule's regexes run only where all literals that they
+    need are in the text. Null and empty
     texts have no words and no labels; null ids and repeated rows are rows as any; other columns are ignored.
     """
     rules = rules or Rules()

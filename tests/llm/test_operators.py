@@ -461,6 +461,55 @@ def test_license_scan(docs, rows, none):
     assert scan_licenses(none).count() == 0
 
 
+def a_match(items, rng):
+    """A random text that a parsed pattern matches."""
+    out = b""
+    for op, value in items:
+        name = str(op)
+        if name == "LITERAL":
+            out += bytes([value])
+        elif name == "IN":
+            kinds = {"CATEGORY_WORD": br"\w", "CATEGORY_DIGIT": br"\d", "CATEGORY_SPACE": br"\s"}
+            fits = lambda c, x: c == x[1] if str(x[0]) == "LITERAL" else x[1][0] <= c <= x[1][1] if str(x[0]) == "RANGE" else re.match(kinds[str(x[1])], bytes([c]))
+            negated = str(value[0][0]) == "NEGATE"
+            out += bytes([rng.choice([c for c in b" \n\t#*-/_:,abcstxyz0123456789.+" if any(fits(c, x) for x in value[negated:]) != negated])])
+        elif name == "MAX_REPEAT":
+            out += b"".join(a_match(value[2], rng) for _ in range(rng.randint(value[0], min(int(value[1]), value[0] + 3))))
+        elif name == "SUBPATTERN":
+            out += a_match(value[3], rng)
+        elif name == "BRANCH":
+            out += a_match(rng.choice(value[1]), rng)
+        elif name in ("ANY", "NOT_LITERAL"):
+            out += b" "
+        else:
+            assert name == "AT"
+    return out
+
+
+def test_license_prefilter_changes_nothing():
+    from re import _parser
+
+    from millrace.llm.license_scan import Rules, suppress
+
+    rules, rng = Rules(), random.Random(8)
+    for _, _, pattern in rules.rules:
+        tree, hits = _parser.parse(pattern.pattern), 0
+        for _ in range(8):
+            text = b"Some text. ".lower() + a_match(tree, rng) + b" and more"
+            every = [(j, *m.span(), rules.rules[j][0], rules.rules[j][1]) for j in range(len(rules.rules)) for m in rules.rules[j][2].finditer(text)]
+            assert rules.detect(text) == suppress(every)
+            hits += bool(pattern.search(text))
+        assert hits
+
+
+def test_wrapped_license_notices(spark):
+    from millrace.llm.license_scan import scan_licenses
+
+    texts = ["GNU General\n# Public License, version 3", "Creative\nCommons Attribution", "the End-User License Agreement", "all  rights\n * reserved", "see https://gnu.org/licenses/gpl", "General words of public use"]
+    got = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.labels for r in sorted(got, key=lambda r: r.doc_id)] == ["gpl-3.0", "cc-by", "eula", "all-rights-reserved", "gpl", ""]
+
+
 def test_suppression():
     from millrace.llm.license_scan import Rules, suppress
 
