@@ -268,7 +268,8 @@ def score_corpus(docs: DataFrame, train: Column, order: int = ORDER, ids: str =
     sums = learnt.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     n_train = rows.filter("train").count()
     totals = {"texts": n_train, "tokens": sums[1] + n_train, "distinct": sums[0] + (n_train > 0)}
-    grams = kept(gram_scores(counted.filter(f"kind = {GRAM}").select("key", "n"), order), "gram-scores")
+    # rounded here, so that both ways of looking up add the same values
+    grams = kept(gram_scores(counted.filter(f"kind = {GRAM}").select("key", "n"), order).select("key", F.col("value").cast("float").alias("value")), "gram-scores")
     names = [ids, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = f"`{ids}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 

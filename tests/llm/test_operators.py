@@ -164,6 +164,16 @@ def test_ppm(docs, rows, none):
     assert adaptive.code(b"abababababab" * 9, learn=True) > -80
 
 
+def test_ppm_scores_alike_by_broadcast_and_blocks(spark):
+    from millrace.llm.ppm import score_corpus
+
+    rng = random.Random(6)
+    given = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"])[: rng.randint(1, 5)] for _ in range(40))) for i in range(30)]
+    frame = spark.createDataFrame(given, "doc_id long, text string")
+    both = [sorted((r.doc_id, r.base_score, r.score) for r in score_corpus(frame, F.col("doc_id") % 3 != 1, order=3, **more).collect()) for more in ({}, {"broadcast_rows": 0, "block_bytes": 900})]
+    assert both[0] == both[1]
+
+
 def test_ppm_long_texts_in_pieces(monkeypatch):
     from millrace.llm import _text, ppm
 
