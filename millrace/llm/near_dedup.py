@@ -234,7 +234,8 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, ids: str =
 
     Texts of the same words (white space and the case of A-Z aside) are one node at once. Nodes are linked if the
     Jaccard similarity of their five-word shingles, under TF-IDF weights or plain, is ``threshold`` or more; classes are
-    the components of links. A text of fewer than five words is one shingle.
+    the components of links. A text of fewer than five words is one shingle. Candidates come from bands of weighted samples
+    alone, so a pair of weighted similarity s is missed with a chance of (1 - s^4)^16, plain links of low s mostly.
 
     Passes over the texts: document frequencies, samples, and shingles of candidates alone. Candidates are verified in
     rounds, best first; pairs that earlier rounds have joined need no look. The texts of large buckets that are still
