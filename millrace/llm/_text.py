@@ -153,16 +153,19 @@ def of_each(texts: list[bytes], lower: bool = True):
 
 
 def shared_path(spark, name: str) -> str:
-    """A fresh path in the cluster's shared folder; set here only where no folder is named."""
+    """A fresh path in the cluster's shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def shared_folder(spark) -> str:
+    """The folder named in ``spark.checkpoint.dir``. In local mode alone, one in the temporary folder stands in."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir()
     if not isinstance(named, str):
         named = named.get() if named.isDefined() else None
     if named is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         named = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
@@ -173,6 +176,29 @@ def shared_folder(spark) -> str:
 
 def kept(df, name: str = "kept"):
     """``df`` written to the shared folder and read again: its lineage is cut and survives lost executors."""
-    path = shared_path(df.sparkSession, name)
+    return _written(df, shared_path(df.sparkSession, name))
+
+
+def _written(df, path: str):
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables kept while an operator works; when it ends, all but its result are deleted."""
+
+    def __init__(self, spark):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df, name: str = "kept"):
+        self.paths.append(shared_path(self.spark, name))
+        return _written(df, self.paths[-1])
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = []
