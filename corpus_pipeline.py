@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace.llm._text import kept
 from millrace.llm.langid import UNKNOWN, identify, learn
 from millrace.llm.mixing import mix_sources
-from millrace.llm.near_dedup import duplicate_classes, within
+from millrace.llm.near_dedup import keep_one, within
 from millrace.llm.packing import pack_documents
 from millrace.llm.queries import MIX_WEIGHTS, crc_mod, tokenizer_path
 
@@ -32,17 +32,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each class. Repeated rows of one id are one document. Rows without an
-    id stay only if no row of their class has one."""
-    classes = kept(duplicate_classes(docs), "classes")
-    gone = classes.filter(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    rest = within(docs, gone, "doc_id", "left_anti")
-    ids = classes.filter("doc_id is not null")
-    repeated = kept(ids.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    if not repeated.take(1):
-        return rest
-    once = within(rest, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return within(rest, repeated, "doc_id", "left_anti").unionByName(once)
+    """Keep the document with the smallest id of each class. Rows without an id stay only if no row of their class has
+    one, and then one of them; equal texts of one id are one document."""
+    return keep_one(docs)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
