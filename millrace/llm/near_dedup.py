@@ -79,8 +79,8 @@ def consistent_samples(keys: np.ndarray, weights: np.ndarray, sizes: np.ndarray,
             take(own, slots[own], np.uint64(i))
     left = np.flatnonzero(empty)
     each = np.asarray(sizes)[left // k] if len(left) else left
-    for first in range(0, len(left), 1 << 12):
-        some, n = left[first : first + (1 << 12)], each[first : first + (1 << 12)]
+    for first in range(0, len(left), 1 << 9):
+        some, n = left[first : first + (1 << 9)], each[first : first + (1 << 9)]
         slots = np.repeat(some, n)
         own = np.arange(len(slots)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[some // k], n)
         take(own, slots, (slots % k + 100).astype(np.uint64))
@@ -143,7 +143,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def within(df: DataFrame, ids: DataFrame, on: str, how: str, bound: int = BROADCAST_IDS) -> DataFrame:
-    """``df`` semi- or anti-joined with ids, which are broadcast up to a bound and else shuffled."""
+    """``df`` joined with ids (left, semi or anti), which are broadcast up to a bound and else shuffled."""
     return df.join(F.broadcast(ids) if ids.count() <= bound else ids, on, how)
 
 
@@ -361,22 +361,26 @@ def duplicate_nodes(docs: DataFrame, threshold: float = THRESHOLD, ids: str = "d
             read = shingle_sets(wanted.unionByName(rows.filter("id is null")))
             stored = keep(within(read, found.select("node"), "node", "left_semi", broadcast_ids).dropDuplicates(["node"]), "sets")
 
-            def verified(pairs: DataFrame) -> DataFrame:
+            def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 def verify(batches):
                     for batch in batches:
                         own = [batch.column(i).to_pylist() for i in range(2, 6)]
                         ok = pa.array([similarity(unpack(a, b), unpack(c, d), shared.value) >= threshold for a, b, c, d in zip(*own)], pa.bool_())
                         yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["node", "other"])
 
-                both = pairs.join(stored.select(F.col("node").alias("other"), F.col("keys").alias("k2"), F.col("counts").alias("n2")), "other").join(stored, "node")
+                both = pairs.join(sets.select(F.col("node").alias("other"), F.col("keys").alias("k2"), F.col("counts").alias("n2")), "other").join(sets, "node")
                 return keep(both.select("node", "other", "keys", "counts", "k2", "n2").mapInArrow(verify, "node long, other long"), "links")
 
             central = members.groupBy("node").agg(F.sum("size").alias("central"))
             leaders = members.join(central, "node").groupBy("key").agg(F.max(F.struct("central", "node")).alias("top")).select("key", F.col("top.node").alias("leader"))
             led = keep(members.select("key", "node", "size").join(leaders, "key"), "led")
             pairs = led.filter("node <> leader").select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("other")).distinct()
-            links = verified(pairs)
-            labels = components(links, scratch)
+            labels = components(verified(pairs, stored), scratch)
+
+            def joined(links: DataFrame) -> DataFrame:
+                """Labels after further links: those so far are links to the text that they name."""
+                more = links.unionByName(labels.filter("node <> label").select("node", F.col("label").alias("other")))
+                return components(more, scratch) if links.take(1) else labels
 
             def apart(some: DataFrame) -> DataFrame:
                 """Members, with labels, of buckets that hold several."""
@@ -388,27 +392,27 @@ def duplicate_nodes(docs: DataFrame, threshold: float = THRESHOLD, ids: str = "d
             pairs = few.select("key", "node", "label").join(few.select("key", F.col("node").alias("other"), F.col("label").alias("label2")), "key")
             pairs = keep(pairs.filter("node > other and label <> label2").select("node", "other").distinct(), "pairs")
             if pairs.take(1):
-                links = links.unionByName(verified(pairs))
-                labels = components(links, scratch)
+                ends = pairs.select("node").unionByName(pairs.select(F.col("other").alias("node"))).distinct()
+                labels = joined(verified(pairs, within(stored, ends, "node", "left_semi", broadcast_ids)))
             many = apart(led.filter(F.col("size") > small)).select("key", "node", "label")
             if many.take(1):
-                met = blocks_of(many, stored, block, block_bytes)
-                new = keep(met.groupBy("key", "g1", "p1", "g2", "p2").applyInArrow(compare_blocks(shared, threshold), "node long, other long"), "links")
-                if new.take(1):
-                    labels = components(links.unionByName(new), scratch)
+                met = blocks_of(many, within(stored, many.select("node").distinct(), "node", "left_semi", broadcast_ids), block, block_bytes)
+                labels = joined(keep(met.groupBy("key", "g1", "p1", "g2", "p2").applyInArrow(compare_blocks(shared, threshold), "node long, other long"), "links"))
         if labels is None:
             return kept(sampled.select("id", "node", F.col("node").alias("label")), "classes")
         return kept(sampled.select("id", "node").join(labels, "node", "left").select("id", "node", F.coalesce("label", "node").alias("label")), "classes")
 
 
-def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, ids: str = "doc_id", text: str = "text", **sizes) -> DataFrame:
+def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, ids: str = "doc_id", text: str = "text", broadcast_ids: int = BROADCAST_IDS, **sizes) -> DataFrame:
     """(id, class_id): one row per input row; class_id is the smallest id of its class as ``duplicate_nodes`` finds it.
 
     Rows with a null id get their class's smallest id, or null if it has none. Texts without words are classes of their
     own. Different texts of one id are different documents that share a name."""
-    nodes = duplicate_nodes(docs, threshold, ids, text, **sizes)
-    least = nodes.filter("label is not null").groupBy("label").agg(F.min("id").alias("least"))
-    return nodes.join(least, "label", "left").select(F.col("id").alias(ids), F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("least")).alias("class_id"))
+    with Scratch(docs.sparkSession) as scratch:
+        nodes = duplicate_nodes(docs, threshold, ids, text, broadcast_ids=broadcast_ids, **sizes)
+        least = nodes.filter("label is not null").groupBy("label").agg(F.min("id").alias("least"), F.count("*").alias("rows")).filter("rows > 1")
+        named = within(nodes, scratch.keep(least.select("label", "least"), "least"), "label", "left", broadcast_ids)
+        return kept(named.select(F.col("id").alias(ids), F.coalesce("least", "id").alias("class_id")), "classes")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, ids: str = "doc_id", text: str = "text", broadcast_ids: int = BROADCAST_IDS, **sizes) -> DataFrame:
