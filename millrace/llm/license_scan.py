@@ -148,10 +148,11 @@ FAMILIES: list[tuple[str, str, float, list[str]]] = [
     ("no-redistribution", "redistribut", 0.6, [r"(?:may|must)~not~(?:be~)?(?:copied|reproduced|republished)[^.\n]{0,60}redistribut\w+", r"redistribution~(?:is~)?(?:prohibited|forbidden|not~permitted)", r"do~not~redistribute"]),
     ("permission-required", "permission", 0.5, [r"without~(?:the~)?(?:prior~)?(?:express~)?(?:written~)?permission~(?:of|from)", r"used?~(?:by|with)~permission", r"reproduced~with~permission"]),
     ("ai-training-reserved", "training", 0.7, [r"(?:may|must)~not~be~used~(?:for|to)~(?:ai|machine~learning|model)?~?train\w*", r"no~(?:ai|machine~learning)~training"]),
-    ("copyright-notice", "copyright", 0.4, [r"copyright~(?:\(c\)|©)?~?(?:19|20)\d\d", r"\(c\)~copyright~(?:19|20)\d\d"]),
+    ("copyright-notice", "copyright", 0.4, [r"copyright~(?:(?:c\)|©)~?)?(?:19|20)\d\d", r"\(c\)~copyright~(?:19|20)\d\d"]),
     ("unspecified-license", "licen", 0.3, [r"see~(?:the~)?licen[cs]e~(?:file|for~details)", r"licen[cs]ed~under~the~terms~of", r"this~licen[cs]e~(?:grants|permits|allows)"]),
 ]
-_GAP = r"[^a-z0-9\x80-\xff]+"
+#: Gaps give nothing back: what follows one starts with a letter or digit, so a long run of white space is read once.
+_GAP, _ANY_GAP = r"[^a-z0-9\x80-\xff]++", r"[^a-z0-9\x80-\xff]*+"
 
 
 def literals(pattern: bytes) -> list[bytes]:
@@ -181,14 +182,13 @@ class Rules:
         self.rules, self.by_literal = [], {}
         for label, _, score, patterns in families if families is not None else FAMILIES:
             for pattern in patterns:
-                # a gap before an optional part may stand for none
-                text = pattern.replace("~?", f"(?:{_GAP})?").replace("~", _GAP)
+                text = pattern.replace("~?", _ANY_GAP).replace("~", _GAP)
                 source = text.encode("latin-1", "ignore") if "©" not in text else text.encode()
                 first, *others = literals(source) or [b""]
                 self.by_literal.setdefault(first, []).append((len(self.rules), others))
                 self.rules.append((label, score, re.compile(source)))
         word = rb"[0-9a-z\x80-\xff]"
-        self.base = [(label, phrase.split()[-1].encode(), phrase.split()[0].encode(), re.compile(rb"(?<!" + word + rb")" + rb"[^0-9a-z\x80-\xff]+".join(w.encode() for w in phrase.split()) + rb"(?!" + word + rb")"), len(phrase.split())) for phrase, label in base]
+        self.base = [(label, phrase.split()[-1].encode(), phrase.split()[0].encode(), re.compile(rb"(?<!" + word + rb")" + rb"[^0-9a-z\x80-\xff]++".join(w.encode() for w in phrase.split()) + rb"(?!" + word + rb")"), len(phrase.split())) for phrase, label in base]
 
     def detect(self, text: bytes) -> list[tuple[int, int, str, float]]:
         """(start, end, label, score) of what stays, by start: a detection that lies within one of higher priority goes,

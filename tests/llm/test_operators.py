@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -555,7 +556,7 @@ def a_match(items, rng):
             fits = lambda c, x: c == x[1] if str(x[0]) == "LITERAL" else x[1][0] <= c <= x[1][1] if str(x[0]) == "RANGE" else re.match(kinds[str(x[1])], bytes([c]))
             negated = str(value[0][0]) == "NEGATE"
             out += bytes([rng.choice([c for c in b" \n\t#*-/_:,abcstxyz0123456789.+" if any(fits(c, x) for x in value[negated:]) != negated])])
-        elif name == "MAX_REPEAT":
+        elif name in ("MAX_REPEAT", "POSSESSIVE_REPEAT"):
             out += b"".join(a_match(value[2], rng) for _ in range(rng.randint(value[0], min(int(value[1]), value[0] + 3))))
         elif name == "SUBPATTERN":
             out += a_match(value[3], rng)
@@ -584,6 +585,21 @@ def test_license_prefilter_changes_nothing():
         assert hits
 
 
+def test_license_rules_read_long_gaps_once():
+    from millrace.llm.license_scan import Rules
+
+    rules, began = Rules(), time.monotonic()
+    for literal in rules.by_literal:
+        for gap in (b" ", b"(", b" \n# "):
+            text = literal + gap * 100_000 + b"! "
+            for _, _, pattern in rules.rules:
+                if literal in pattern.pattern:
+                    assert len([*pattern.finditer(text)]) < 2
+    assert not rules.detect(b"copyright" + b" " * 5_000_000) and not rules.base_places(b"under" + b" " * 5_000_000 + b"the mit")
+    assert time.monotonic() - began < 60
+    assert [x[2] for x in rules.detect(b"copyright (c) 2020 a; copyright \xc2\xa9 2021; copyright 1999")] == ["copyright-notice"] * 3
+
+
 def test_wrapped_license_notices(spark):
     from millrace.llm.license_scan import scan_licenses
 
