@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._text import of_each, shingles, texts_of
+from millrace.llm._text import Scratch, of_each, shingles, texts_of
 
 #: Hashes kept by a sketch, and hex digits of each (48 bits).
 K, DIGITS = 64, 12
 _SPACE = float(1 << 4 * DIGITS)
+#: Bytes of text that a range of neighbours holds, and what stands for a null id in their order.
+RANGE_BYTES, _FIRST = 16 << 20, -(1 << 63)
 
 
 def sketch(hashes: np.ndarray, k: int = K) -> np.ndarray:
@@ -101,47 +103,69 @@ def merge_fingerprints(df: DataFrame, by: list[str], k: int = K) -> DataFrame:
     return df.select(*by).distinct().join(ranked.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("hash")), "").alias("merged")), by, "left").select(*by, F.coalesce("merged", F.lit("")).alias("fingerprint"))
 
 
-def neighbours(docs: DataFrame, ids: str = "doc_id", text: str = "text", rows_per_range: int = 2000) -> DataFrame:
+def range_heads(docs: DataFrame, rows_per_range: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, text hashes): the first row of each range of about ``rows_per_range`` rows in the order of (id, hash), null
+    ids first. Only ids and hashes are sorted; two numbers a range come to the driver."""
+    with Scratch(docs.sparkSession) as scratch:
+        keys = scratch.keep(docs.select("id", "hash"), "keys")
+        ordered = scratch.keep(keys.sort(F.col("id").asc_nulls_first(), "hash").withColumn("at", F.monotonically_increasing_id()), "ordered")
+        place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))  # in its task; every task begins a range
+        heads = ordered.filter(place % rows_per_range == 0).select("id", "hash").distinct().toArrow()
+        found = [heads[c].combine_chunks().fill_null(_FIRST).to_numpy(zero_copy_only=False) for c in ("id", "hash")]
+    order = np.lexsort(found[::-1])
+    return found[0][order], found[1][order]
+
+
+def _places(ids: np.ndarray, hashes: np.ndarray, heads: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The range of each row: that of the last head that is not above it."""
+    low, high = (np.searchsorted(heads[0], ids, side) for side in ("left", "right"))
+    place = low - 1
+    some = np.flatnonzero(high > low)
+    for id_ in np.unique(ids[some]):
+        own = some[ids[some] == id_]
+        place[own] = low[own[0]] - 1 + np.searchsorted(heads[1][low[own[0]] : high[own[0]]], hashes[own], "right")
+    return place
+
+
+def neighbours(docs: DataFrame, ids: str = "doc_id", text: str = "text", rows_per_range: int | None = None) -> DataFrame:
     """The whole texts dealt into ranges of ascending ids, sorted within each partition, each range followed by a copy of
     the first row of the next one (of the first range after the last), marked ``ahead``.
 
-    Bounds of the ranges come from a sketch of the ids' quantiles, one number per ``rows_per_range`` rows. Null ids come first.
+    Ranges hold about RANGE_BYTES of text, or fewer where the cluster has more cores than ranges; their number grows
+    with the table, and each has a partition of its own. Null ids come first. Rows of one id are ordered by a hash of
+    their texts and split by it, so that an id of any share of the rows fills many ranges.
     """
-    rows = docs.select(F.col(ids).cast("long").alias("id"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    total = rows.count()
-    n = max(1, min(20_000, total // rows_per_range))
-    bounds = rows.select(F.percentile_approx("id", F.array(*[F.lit((i + 1) / n) for i in range(n - 1)]) if n > 1 else F.array(F.lit(0.5)), max(10_000, 20 * n)).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))[: n - 1] if n > 1 else []
-    cut = np.array(bounds, np.int64)
-
-    def deal(batches):  # a range holds the ids up to its bound
+    rows = docs.select(F.col(ids).cast("long").alias("id"), F.coalesce(docs[text], F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("hash"), "text")
+    if rows_per_range is None:
+        total, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        ranges = max(size // RANGE_BYTES, min(rows.sparkSession.sparkContext.defaultParallelism, total // 1000), 1)
+        rows_per_range = -(-total // ranges) or 1
+    heads = range_heads(rows, rows_per_range)
+    n = len(heads[0])
+    shared = docs.sparkSession.sparkContext.broadcast(heads)  # 16 bytes a range
+
+    def deal(batches):
         for batch in batches:
-            ids_ = batch.column(0)
-            place = np.searchsorted(cut, ids_.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "left") if len(cut) else np.zeros(len(ids_), np.int64)
-            yield pa.RecordBatch.from_arrays([ids_, pa.array(place.astype(np.int64)), batch.column(1)], names=["id", "range", "text"])
+            own, hashes = (batch.column(i).fill_null(_FIRST).to_numpy(zero_copy_only=False) for i in (0, 1))
+            place = _places(own, hashes, shared.value)
+            first = np.flatnonzero((shared.value[0][place] == own) & (shared.value[1][place] == hashes))
+            for rows_, at, ahead in ((batch, place, False), (batch.take(pa.array(first)), (place[first] - 1) % n, True)):
+                yield pa.RecordBatch.from_arrays([rows_.column(0), rows_.column(1), pa.array(at.astype(np.int64)), rows_.column(2), pa.array(np.full(len(at), ahead))], names=["id", "hash", "range", "text", "ahead"])
 
-    dealt = rows.mapInArrow(deal, "id long, range long, text string")
-    heads = dealt.groupBy("range").agg(F.min_by(F.struct("id", F.xxhash64("text").alias("h")), F.struct("id", F.xxhash64("text"))).alias("head")).select("range", "head.*").collect()  # one row for each range
-    order = sorted(r["range"] for r in heads)
-    before = {r: order[i - 1] for i, r in enumerate(order)}
-    spark = docs.sparkSession
-    if not heads:
-        return dealt.withColumn("ahead", F.lit(False))
-    first = spark.createDataFrame([(r["range"], r["id"], r["h"], before[r["range"]]) for r in heads], "range long, id long, h long, goes_to long")
-    copies = dealt.alias("d").join(F.broadcast(first).alias("f"), (F.col("d.range") == F.col("f.range")) & F.col("d.id").eqNullSafe(F.col("f.id")) & (F.xxhash64("d.text") == F.col("f.h"))).select("d.id", F.col("f.goes_to").alias("range"), "d.text")
-    copies = copies.dropDuplicates(["range"]).withColumn("ahead", F.lit(True))
-    parts = max(1, len(order))
-    return dealt.withColumn("ahead", F.lit(False)).unionByName(copies).repartition(parts, "range").sortWithinPartitions("range", "ahead", "id", F.xxhash64("text"))
+    dealt = rows.mapInArrow(deal, "id long, hash long, range long, text string, ahead boolean")
+    return dealt.repartitionById(max(1, n), F.col("range").cast("int")).sortWithinPartitions("range", "ahead", F.col("id").asc_nulls_first(), "hash").drop("hash")
 
 
-EDIT_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+EDIT_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double, contained_edited double"
 
 
 def edited_neighbours(docs: DataFrame, ids: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
     """Fingerprints of each text, of the text whose last quarter is replaced by the first code points of the next
-    document (as many, or all it has; ascending ids, after the last the first), and the likeness of both and of the next.
+    document (as many, or all it has; ascending ids, after the last the first), and the likeness of both and of the next;
+    then the estimated number of the text's distinct shingles and the share of them that the edited text holds.
 
-    Repeated ids stand side by side in an order fixed by their texts; null ids come first; a single document is its own next.
+    Repeated ids stand side by side in an order fixed by their texts; null ids come first; a single document is its own
+    next. Rows equal in id and text stay in one range.
     """
 
     def run(batches):
@@ -157,7 +181,7 @@ def edited_neighbours(docs: DataFrame, ids: str = "doc_id", text: str = "text",
                 if rows[i][3] is not rows[i + 1][1] and rows[i][3] != rows[i + 1][1]:
                     nexts[i] = fingerprint_texts([rows[i][3].encode()], k)[0]
             a, b = found[: len(rows)], found[len(rows) :]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in raw], pa.string()), pa.array([encode(x) for x in a], pa.string()), pa.array([encode(x) for x in b], pa.string()), pa.array([resemblance(x, y, k) for x, y in zip(a, b)], pa.float64()), pa.array([resemblance(x, y, k) for x, y in zip(a, nexts)], pa.float64())], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in raw], pa.string()), pa.array([encode(x) for x in a], pa.string()), pa.array([encode(x) for x in b], pa.string()), pa.array([resemblance(x, y, k) for x, y in zip(a, b)], pa.float64()), pa.array([resemblance(x, y, k) for x, y in zip(a, nexts)], pa.float64()), pa.array([distinct(x, k) for x in a], pa.float64()), pa.array([containment(x, y, k) for x, y in zip(a, b)], pa.float64())], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles", "contained_edited"])
 
         for batch in batches:
             rows, size = [], 0

@@ -509,6 +509,16 @@ def test_fingerprint_ranges(spark):
     rows = fp.neighbours(frame, rows_per_range=50).filter("not ahead").groupBy("range").agg(F.max("id").alias("m")).collect()
     for r in rows:
         assert by[r.range].id == (r.m + 1) % 1009 and by[r.range].text == texts[by[r.range].id]
+    # one id, or none, for most rows: split by their texts, in an order that any partitioning gives
+    hot = [(5 if i % 2 else None, f"text {i} " * 9) for i in range(400)] + [(7, "last " * 9)]
+    for n in (1, 6):
+        frame = spark.createDataFrame(hot, "doc_id long, text string").repartition(n)
+        got = fp.neighbours(frame, rows_per_range=50)
+        sizes = [r["count"] for r in got.filter("not ahead").groupBy("range").count().collect()]
+        assert sum(sizes) == len(hot) and max(sizes) <= 60 and got.filter("ahead").count() == len(sizes)
+        found = sorted((r.doc_id or 0, r.fingerprint, r.edited_fingerprint, r.near_next) for r in fp.edited_neighbours(frame).collect())
+        assert n == 1 or found == before
+        before = found
 
 
 def test_sketches_merge_and_estimate(spark):
