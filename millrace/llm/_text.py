@@ -194,6 +194,10 @@ class Scratch:
         self.paths.append(shared_path(self.spark, name))
         return _written(df, self.paths[-1])
 
+    def result(self, df, name: str = "result"):
+        """What the operator returns: written as well, and left."""
+        return kept(df, name)
+
     def __enter__(self):
         return self
 

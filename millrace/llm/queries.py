@@ -126,22 +126,37 @@ def _rules_sql() -> str:
 
 
 def _spread_sql(source: str) -> str:
-    return f"""(SELECT coalesce(greatest(1.0, least(1000.0, avg(CASE WHEN n > 0 THEN mean * (1 - mean) END) / greatest((sum(CASE WHEN n > 0 THEN n * (bad / n - mean) * (bad / n - mean) END) - sum(CASE WHEN n > 0 THEN mean * (1 - mean) END))
+    return f"""(SELECT coalesce(greatest(1.0, least(1000.0, avg(CASE WHEN n > 0 THEN prior * (1 - prior) END) / greatest((sum(CASE WHEN n > 0 THEN n * (bad / n - prior) * (bad / n - prior) END) - sum(CASE WHEN n > 0 THEN prior * (1 - prior) END))
         / nullif(sum(n) - sum(n * n) / nullif(sum(n), 0), 0), 1e-9) - 1)), 1000.0) FROM {source})"""
 
 
+def _shrunk_sql(source: str, key: str) -> str:
+    return f"(SELECT {key}, n, bad, (bad + s * prior) / (n + s) AS mean, n + s AS rests FROM (SELECT *, least({_spread_sql(source)}, prior_rests) AS s FROM {source}))"
+
+
+def _registered_sql() -> tuple[str, str]:
+    """(domain of a bare host, suffix of a domain)."""
+    from millrace.llm.url_reputation import TWO_LABELS
+
+    last = lambda x, k: f"list_aggregate(list_slice(string_split({x}, '.'), -{k}, -1), 'string_agg', '.')"
+    two = ", ".join(f"'{x}'" for x in TWO_LABELS)
+    form = lambda x, some, other: f"CASE WHEN regexp_matches({x}, '[.][0-9]+$') THEN {x} WHEN {last(x, 2)} IN ({two}) THEN {last(x, some)} ELSE {last(x, other)} END"
+    return form("bare", 3, 2), form("domain", 2, 1)
+
+
 #: The rest can't be said in SQL: random rounding, tokens, sketches, tries, trees and decoders are tested by brute force.
 ORACLES: dict[str, str] = {
     "op1_url_reputation": f"""WITH own AS (SELECT page_id, translate({_HOST}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(substr(rest, length({_HOST}) + 1), '^[^?#]*'), '') AS path FROM (SELECT page_id, coalesce({_RAW}, '') AS rest FROM pages)),
     marks AS (SELECT doc_id, max(CASE WHEN coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
-    hosts AS (SELECT host, list_aggregate(list_slice(string_split(host, '.'), -2, -1), 'string_agg', '.') AS domain, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad FROM own LEFT JOIN marks ON page_id = doc_id GROUP BY 1, 2),
-    domains AS (SELECT domain, string_split(domain, '.')[-1] AS suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1, 2),
-    suffixes AS (SELECT suffix, n, bad, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM domains) AS mean FROM (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY 1)),
-    suffix_means AS (SELECT suffix, (bad + s * mean) / (n + s) AS mean FROM suffixes, (SELECT {_spread_sql('suffixes')} AS s)),
-    domain_rows AS (SELECT domain, n, bad, mean FROM domains JOIN suffix_means USING (suffix)),
-    domain_means AS (SELECT domain, (bad + s * mean) / (n + s) AS mean FROM domain_rows, (SELECT {_spread_sql('domain_rows')} AS s)),
-    host_rows AS (SELECT host, n, bad, mean FROM hosts JOIN domain_means USING (domain)),
-    rates AS (SELECT host, n, n + s AS total, (bad + s * mean) / (n + s) AS rate FROM host_rows, (SELECT {_spread_sql('host_rows')} AS s)),
-    judged AS (SELECT page_id, host, path, {_rules_sql()}, CAST(n AS BIGINT) AS n_labelled, rate, greatest(0.0, rate - 1.645 * sqrt(rate * (1 - rate) / (total + 1))) AS bound FROM own JOIN rates USING (host))
-    SELECT page_id, host, path, rule, coalesce(given, CASE WHEN bound > 0.25 THEN 'block' ELSE 'allow' END) AS verdict, n_labelled, round(rate, 6) AS bad_rate, round(bound, 6) AS bad_bound FROM judged""",
+    hosts AS (SELECT host, {_registered_sql()[0]} AS domain, n, bad FROM (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad FROM own LEFT JOIN marks ON page_id = doc_id GROUP BY 1)),
+    whole AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS prior, coalesce(sum(n), 0) + 2.0 AS prior_rests FROM hosts),
+    domains AS (SELECT domain, {_registered_sql()[1]} AS suffix, n, bad FROM (SELECT domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1)),
+    suffix_rows AS (SELECT * FROM (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY 1), whole),
+    suffix_means AS {_shrunk_sql('suffix_rows', 'suffix')},
+    domain_rows AS (SELECT domain, d.n, d.bad, mean AS prior, rests AS prior_rests FROM domains d JOIN suffix_means USING (suffix)),
+    domain_means AS {_shrunk_sql('domain_rows', 'domain')},
+    host_rows AS (SELECT host, h.n, h.bad, mean AS prior, rests AS prior_rests FROM hosts h JOIN domain_means USING (domain)),
+    rates AS {_shrunk_sql('host_rows', 'host')},
+    judged AS (SELECT page_id, host, path, {_rules_sql()}, CAST(n AS BIGINT) AS n_labelled, mean AS rate, greatest(0.0, mean - 1.645 * sqrt(mean * (1 - mean) / (rests + 1))) AS bound FROM own JOIN rates USING (host))
+    SELECT page_id, host, path, rule, coalesce(given, CASE WHEN bound > (SELECT greatest(0.05, 1.5 * prior) FROM whole) THEN 'block' ELSE 'allow' END) AS verdict, n_labelled, round(rate, 6) AS bad_rate, round(bound, 6) AS bad_bound FROM judged""",
 }

@@ -5,8 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Block where the lower posterior bound of a host's rate of bad pages is above MAX_BAD; Z standard deviations below the mean.
-MAX_BAD, Z = 0.25, 1.645
+from millrace.llm._text import Scratch
+
+#: Block where the lower posterior bound of a host's rate of bad pages, Z standard deviations below its mean, is above
+#: WORSE times the rate of all labelled pages, and above LEAST_BAD.
+WORSE, LEAST_BAD, Z = 1.5, 0.05, 1.645
+#: Hosts up to this number are broadcast with their verdicts.
+BROADCAST_HOSTS = 200_000
+#: Suffixes of two labels under which domains are registered, fixed values; every other suffix is the last label.
+TWO_LABELS = (
+    "ac.at", "ac.id", "ac.il", "ac.in", "ac.jp", "ac.kr", "ac.nz", "ac.th", "ac.uk", "ac.za", "co.at", "co.id", "co.il", "co.in", "co.jp", "co.ke",
+    "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.eg", "com.hk", "com.mx", "com.my", "com.ng",
+    "com.pe", "com.ph", "com.pk", "com.pl", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.br", "edu.cn", "edu.hk", "edu.mx", "edu.pl",
+    "edu.sg", "edu.tr", "edu.tw", "gob.ar", "gob.mx", "go.jp", "go.kr", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.tr", "gov.uk", "gov.za", "ltd.uk",
+    "me.uk", "ne.jp", "net.au", "net.br", "net.cn", "net.nz", "net.uk", "nhs.uk", "or.at", "or.jp", "or.kr", "org.ar", "org.au", "org.br", "org.cn",
+    "org.mx", "org.nz", "org.pl", "org.tr", "org.tw", "org.uk", "org.za", "plc.uk", "sch.uk",
+)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,13 +44,21 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.substring(rest, F.length(_authority(url)) + 1, F.length(rest)), "^[^?#]*", 0), F.lit(""))
 
 
+def bare_host(host: Column) -> Column:
+    """The host without a user's name before it and a port after it."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """What domains are registered under: the last label, or two of TWO_LABELS; of an address of numbers, all of it."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(F.regexp_like(host, F.lit("[.][0-9]+$")), host).when(two.isin(*TWO_LABELS), two).otherwise(F.substring_index(host, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
-    """The registered domain, taken as the last two labels."""
-    return F.substring_index(host, ".", -2)
+    """The registered domain: the suffix and the label before it."""
+    two, three = F.substring_index(host, ".", -2), F.substring_index(host, ".", -3)
+    return F.when(F.regexp_like(host, F.lit("[.][0-9]+$")), host).when(two.isin(*TWO_LABELS), three).otherwise(two)
 
 
 def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -62,42 +84,54 @@ def host_reputation(counts: DataFrame, z: float = Z) -> DataFrame:
     """(host, n, bad, bad_rate, bad_bound) from (host, n labelled pages, bad ones).
 
     Rates are shrunk through beta-binomial priors: suffixes to the whole, registered domains to their suffix, hosts to
-    their domain, each with a concentration fitted by moments over all groups of its level. Levels are sums of the level
-    below, so that only the table of hosts is ever regrouped.
+    their domain. A prior's concentration is fitted by moments over all groups of its level, and is never above what the
+    parent itself rests on (its labelled pages and its own prior's), so that without evidence no bound is high: with no
+    label at all, every rate is one half on two pages. ``bad_bound`` is the posterior mean less ``z`` of its standard
+    deviations, not a quantile. Three numbers, one a level, come to the driver; levels are sums of the level below.
     """
-    hosts = counts.select("host", "n", "bad", domain_of(F.col("host")).alias("domain"))
+    hosts = counts.select("host", "n", "bad", domain_of(bare_host(F.col("host"))).alias("domain"))
     domains = hosts.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("suffix", suffix_of(F.col("domain")))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    whole = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("mean"))
-    suffixes = suffixes.crossJoin(F.broadcast(whole))  # one row
-    suffixes = suffixes.crossJoin(F.broadcast(suffixes.agg(_spread(suffixes, "mean").alias("size"))))
-    suffixes = suffixes.select("suffix", ((F.col("bad") + F.col("size") * F.col("mean")) / (F.col("n") + F.col("size"))).alias("mean"))
-    domains = domains.join(suffixes, "suffix")
-    domains = domains.crossJoin(F.broadcast(domains.agg(_spread(domains, "mean").alias("size"))))
-    domains = domains.select("domain", ((F.col("bad") + F.col("size") * F.col("mean")) / (F.col("n") + F.col("size"))).alias("mean"))
-    hosts = hosts.join(domains, "domain")
-    hosts = hosts.crossJoin(F.broadcast(hosts.agg(_spread(hosts, "mean").alias("size"))))
-    total = F.col("n") + F.col("size")
-    rate = (F.col("bad") + F.col("size") * F.col("mean")) / total
-    return hosts.select("host", "n", "bad", rate.alias("bad_rate"), F.greatest(F.lit(0.0), rate - z * F.sqrt(rate * (1 - rate) / (total + 1))).alias("bad_bound"))
-
-
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], max_bad: float = MAX_BAD, z: float = Z, ids: str = "page_id", url: str = "url") -> DataFrame:
+    n, bad = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+
+    def shrunk(groups: DataFrame, key: str) -> DataFrame:
+        """(key, mean, rests): posterior means of groups (key, n, bad, prior, prior_rests), and what they rest on."""
+        fitted = groups.agg(_spread(groups, "prior")).first()[0]
+        size = F.least(F.lit(fitted), F.col("prior_rests"))
+        return groups.select(key, "n", "bad", ((F.col("bad") + size * F.col("prior")) / (F.col("n") + size)).alias("mean"), (F.col("n") + size).alias("rests"))
+
+    def under(parents: DataFrame, key: str) -> DataFrame:
+        return parents.select(key, F.col("mean").alias("prior"), F.col("rests").alias("prior_rests"))
+
+    suffixes = shrunk(suffixes.withColumn("prior", F.lit((bad + 1) / (n + 2))).withColumn("prior_rests", F.lit(float(n + 2))), "suffix")
+    domains = shrunk(domains.join(under(suffixes, "suffix"), "suffix"), "domain")
+    hosts = shrunk(hosts.join(under(domains, "domain"), "domain"), "host")
+    rate = F.col("mean")
+    return hosts.select("host", "n", "bad", rate.alias("bad_rate"), F.greatest(F.lit(0.0), rate - z * F.sqrt(rate * (1 - rate) / (F.col("rests") + 1))).alias("bad_bound"))
+
+
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], worse: float = WORSE, least_bad: float = LEAST_BAD, z: float = Z, ids: str = "page_id", url: str = "url", broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """Judge every url by the longest rule that fits, else by its host's reputation.
 
     ``outcomes`` is (id, bad): labelled pages. Returns one row per page: the id, host, path, rule (or null), verdict
-    (`allow` or `block`), n_labelled, bad_rate and bad_bound of its host.
+    (`allow` or `block`), n_labelled, bad_rate and bad_bound of its host. The method blocks a host whose bound is above
+    ``worse`` times the rate of all labelled pages and above ``least_bad``.
 
     Pages are counted by host in each task before they are shuffled, so a host of any share of the pages is one small
-    row; the table of hosts is broadcast only if Spark finds it small when it runs, else the join is by a shuffle whose
-    large partitions Spark splits. Null and odd urls have the empty host; unlabelled hosts have their domain's rate, and
-    without any label every rate is one half; an id labelled twice is bad if one label says so; null ids match no label;
-    repeated pages are judged each; other columns are ignored.
+    row. The table of hosts is written once; it is broadcast up to ``broadcast_hosts`` rows, else the join is by a
+    shuffle whose large partitions Spark splits. Null and odd urls have the empty host; unlabelled hosts have their
+    domain's rate, and are allowed where no label stands behind it; an id labelled twice is bad if one label says so;
+    null ids match no label; repeated pages are judged each; other columns are ignored.
     """
     own = pages.select(F.col(ids).alias("id"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     labels = outcomes.groupBy("id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     counts = own.select("id", "host").join(labels, "id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    with Scratch(pages.sparkSession) as scratch:
+        counts = scratch.keep(counts, "hosts")
+        n, bad, n_hosts = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0)), F.count("*")).first()
+        limit = max(least_bad, worse * (bad + 1) / (n + 2))
+        known = scratch.result(host_reputation(counts, z), "reputation")
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    judged = own.join(host_reputation(counts, z), "host", "left")
-    by_method = F.when(F.col("bad_bound") > max_bad, "block").otherwise("allow")
+    judged = own.join(F.broadcast(known) if n_hosts <= broadcast_hosts else known, "host", "left")
+    by_method = F.when(F.col("bad_bound") > limit, "block").otherwise("allow")
     return judged.select(F.col("id").alias(ids), "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), F.col("n").alias("n_labelled"), F.round("bad_rate", 6).alias("bad_rate"), F.round("bad_bound", 6).alias("bad_bound"))
