@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,13 +102,26 @@ def round_chances(chance: list[float], size: list[float], draws) -> list[float]:
     return chance
 
 
-def round_block(frame: pd.DataFrame, seed: str) -> pd.DataFrame:
+def round_block(frame: pa.Table, seed: str) -> pa.Table:
     """One block of one source; draws depend on the seed, the source and the block alone."""
-    frame = frame.sort_values(["size", "doc_id", "unit"], ascending=[False, True, True], kind="stable", na_position="first").reset_index(drop=True)
-    key = f"{seed}|{frame['source'].iloc[0]}|{frame['level'].iloc[0]}|{frame['block'].iloc[0]}"
+    frame = frame.take(pc.sort_indices(frame, [("size", "descending"), ("doc_id", "ascending"), ("unit", "ascending")], null_placement="at_start"))
+    key = "|".join(str(x) for x in (seed, *(frame[c][0].as_py() for c in ("source", "level", "block"))))
     draws = np.random.default_rng(int.from_bytes(hashlib.sha256(key.encode()).digest()[:8], "little")).random(len(frame))
-    frame["chance"] = round_chances(frame["chance"].tolist(), frame["size"].tolist(), draws.tolist())
-    return frame
+    chance = round_chances(frame["chance"].to_pylist(), frame["size"].to_pylist(), draws.tolist())
+    return frame.set_column(frame.schema.get_field_index("chance"), "chance", pa.array(chance, pa.float64()))
+
+
+def numbered(rows: DataFrame, chunk: int = 100_000) -> DataFrame:
+    """``rows`` with ``unit``: 0, 1, ... among equal rows. They are counted before they are dealt, and made again from
+    the counts, a chunk at a time, so that a row repeated any number of times is spread over the cluster."""
+    counts = kept(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")), "counts")
+    once = counts.filter("n = 1").select(*rows.columns, F.lit(0).cast("long").alias("unit"))
+    several = counts.filter("n > 1")
+    if not several.take(1):
+        return once
+    chunks = several.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(chunk).cast("long"))))
+    spread = chunks.repartition(*rows.columns, "first")
+    return once.unionByName(spread.select(*rows.columns, F.explode(F.sequence("first", F.least(F.col("first") + chunk, F.col("n")) - 1)).alias("unit")))
 
 
 def mix_sources(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, seed: str = "mix", block: int = BLOCK, ids: str = "doc_id") -> DataFrame:
@@ -119,30 +133,31 @@ def mix_sources(docs: DataFrame, weights: list[float], share: float = 1.5, most:
     Every row of a positive size expects target / source_size copies. The whole part is given; the fraction is rounded by the pivotal
     method within blocks of ``block`` units of one source, the one open unit of each block goes on to the next level of
     a reduction tree, and the tree's root is rounded by a last draw. So a source's words miss its target by less than
-    the size of one document. Blocks are dealt by a hash of the id: a source of any share of the rows is split evenly.
+    the size of the one unit that stays open at the root, the largest document of the source at most. Blocks are dealt
+    by a hash of id, size and place among equal rows: a source, an id or a row of any share of the table is split evenly.
 
     Null text has size 0 and takes nothing; a null source is a source, the last; null ids and repeated rows are units of
     their own (equal rows are interchangeable); an empty table gives no rows. Reruns agree for any partitioning.
     """
-    sized = kept(docs.select(F.col(ids).alias("doc_id"), F.col("source"), word_count(F.col("text")).alias("size")), "sized")
+    sized = kept(numbered(docs.select(F.col(ids).alias("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))), "sized")
     targets = source_targets(sized.select("source", "size"), weights, share, most)
     n_sources = targets.count()
     small = F.broadcast(targets) if n_sources <= BROADCAST_SOURCES else targets
     sized, targets_of = sized.alias("a"), small.alias("b")
-    joined = sized.join(targets_of, F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.doc_id", "a.source", "a.size", F.coalesce("b.source_size", F.lit(0)).alias("source_size"), F.coalesce("b.target", F.lit(0.0)).alias("target"), "b.source_rows")
+    joined = sized.join(targets_of, F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.doc_id", "a.source", "a.size", "a.unit", F.coalesce("b.source_size", F.lit(0)).alias("source_size"), F.coalesce("b.target", F.lit(0.0)).alias("target"), "b.source_rows")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rate = F.when(F.col("size") > 0, rate).otherwise(0.0)
     near = F.when(F.abs(rate - F.round(rate)) < 1e-12, F.round(rate)).otherwise(rate)
     units = joined.withColumn("whole", F.floor(near)).withColumn("chance", near - F.col("whole"))
     blocks = -(-(targets.agg(F.max("source_rows")).first()[0] or 1) // block)
-    spread = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.ceil(F.col("source_rows") / block).cast("long"))
+    spread = F.pmod(F.xxhash64("doc_id", "size", "unit", F.lit(seed)), F.ceil(F.col("source_rows") / block).cast("long"))
     columns = "doc_id {0}, source string, size long, source_size long, target double, whole long, chance double, level int, block long, unit long".format(dict(docs.select(ids).dtypes)[ids])
-    units = units.select("doc_id", "source", "size", "source_size", "target", "whole", "chance", F.lit(0).alias("level"), spread.alias("block"), F.lit(0).cast("long").alias("unit"))
+    units = units.select("doc_id", "source", "size", "source_size", "target", "whole", "chance", F.lit(0).alias("level"), spread.alias("block"), "unit")
     settled, level = [units.filter("chance = 0")], 0
     rows = units.filter("chance > 0")
     fan = max(2, block // 16)
     while True:
-        rounded = kept(rows.groupBy("source", "block").applyInPandas(lambda f: round_block(f, seed), columns), "rounded")
+        rounded = kept(rows.groupBy("source", "block").applyInArrow(lambda f: round_block(f, seed), columns), "rounded")
         settled.append(rounded.filter("chance <= 0 or chance >= 1"))
         rest, level = rounded.filter("chance > 0 and chance < 1"), level + 1
         if blocks == 1:
