@@ -65,7 +65,8 @@ def test_url_host_and_path(spark):
     assert by[7][2:] == ("www.example.com/en/", "allow") and by[8][2] == "com/"
     assert by[9][:2] == ("a.b:", "//c/d") and by[10][2] is None
     assert judge_urls(pages.filter("false"), outcomes, rules).count() == 0
-    assert judge_urls(pages, outcomes.filter("false"), rules).filter("bad_rate <> 0.5").count() == 0
+    none = judge_urls(pages, outcomes.filter("false"), rules)
+    assert none.filter("bad_rate <> 0.5").count() == 0 and none.filter("rule is null and verdict <> 'allow'").count() == 0
 
 
 def test_bad_hosts_are_blocked_and_small_ones_shrunk(spark):
@@ -77,6 +78,27 @@ def test_bad_hosts_are_blocked_and_small_ones_shrunk(spark):
     assert got["new.x.org"].bad_rate < 1 and got["b.y.org"].bad_rate < got["new.x.org"].bad_rate
 
 
+def test_planted_bad_host_is_blocked(spark):
+    from millrace.llm.url_reputation import judge_urls
+
+    urls = [(i, f"http://{('bad.shop', 'a.good', 'b.good')[i % 3]}.co.uk/x") for i in range(300)] + [(1000 + i, f"http://h{i}.other.org:8080/") for i in range(40)]
+    pages = spark.createDataFrame([*urls, (2000, "http://new.shop.co.uk/"), (2001, "http://10.0.0.7/"), (2002, "http://b.good.co.uk/ok/1")], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, i % 3 == 0 and i % 10 != 0) for i in range(300)] + [(1000 + i, i == 7) for i in range(40)], "id long, bad boolean")
+    for broadcast in (10, 0):
+        got = {r.page_id: r for r in judge_urls(pages, outcomes, [("block", "good.co.uk/ok/")], broadcast_hosts=broadcast).collect()}
+        assert {got[i].verdict for i in range(0, 300, 3)} == {"block"} and {got[i].verdict for i in range(1, 300) if i % 3} == {"allow"}
+        assert {got[1000 + i].verdict for i in range(40)} == {"allow"} and got[2002].verdict == "block"
+        assert got[2000].bad_rate > got[2001].bad_rate  # an unseen host takes after its domain
+
+
+def test_registered_domains(spark):
+    from millrace.llm.url_reputation import bare_host, domain_of, suffix_of
+
+    hosts = ["a.b.co.uk", "co.uk", "www.x.org", "x.org:80", "me@w.x.com", "10.1.2.3:99", "localhost", ""]
+    frame = spark.createDataFrame([(h,) for h in hosts], "h string").select(domain_of(bare_host(F.col("h"))).alias("d")).select("d", suffix_of(F.col("d")))
+    assert [tuple(r) for r in frame.collect()] == [("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("x.org", "org"), ("x.org", "org"), ("x.com", "com"), ("10.1.2.3", "10.1.2.3"), ("localhost", "localhost"), ("", "")]
+
+
 def test_reply_trees(spark):
     from millrace.llm.reply_trees import escape, format_trees, linear, read_back, read_turns, unescape
 
