@@ -9,16 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._text import kept
+from millrace.llm._text import Scratch
 
-#: Vectors (about) that the tree is fitted on; every vector is indexed.
-SAMPLE_ROWS = 20_000
-#: Children of an inner node, vectors of a leaf (as sampled), and rows of a block of a leaf.
-BRANCH, LEAF, BLOCK = 8, 64, 20_000
+#: Vectors (about) that the tree is fitted on, all of a smaller table; every vector is indexed.
+SAMPLE_ROWS = 100_000
+#: Children of an inner node, vectors of a leaf (as sampled), rows of a block of a leaf, and queries that meet it at once.
+BRANCH, LEAF, BLOCK, QUERIES = 8, 64, 20_000, 4096
 #: Recall at which the visits of leaves are calibrated, and the queries that serve for it.
-RECALL, TRIALS = 0.98, 200
-#: Pairs of query and leaf that one search block makes at once.
-CHUNK = 512
+RECALL, TRIALS = 0.96, 300
+#: Distances that are computed at once.
+CHUNK = 1 << 20
 
 
 class Tree:
@@ -84,62 +84,90 @@ def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def calibrate(tree: Tree, sample: np.ndarray, k: int, recall: float = RECALL, trials: int = TRIALS) -> int:
-    """Leaves to visit: widened until the mean recall of trial points of the sample, against all of it, is reached."""
+    """Leaves to visit: widened until the mean recall of trial points of the sample, against the rest of it, is reached."""
     leaf = tree.assign(sample)
-    trial = sample[np.linspace(0, len(sample) - 1, min(trials, len(sample))).astype(int)]
-    far = _square(trial, sample)
-    near = np.argpartition(far, min(k, len(sample) - 1), axis=1)[:, : k + 1]
-    order = [tree.visit(p, tree.leaves) for p in trial]
-    place = [{x: i for i, x in enumerate(o)} for o in order]
-    needed = np.array([[place[i][leaf[j]] for j in own] for i, own in enumerate(near)])
-    leaves = 1
-    while leaves < tree.leaves and (needed < leaves).mean() < recall:
-        leaves += 1
-    return leaves
+    own = np.linspace(0, len(sample) - 1, min(trials, len(sample))).astype(int)
+    needed = []
+    for i in own:
+        far = ((sample - sample[i]) ** 2).sum(1)
+        far[i] = np.inf
+        place = np.empty(tree.leaves, np.int64)
+        place[tree.visit(sample[i], tree.leaves)] = np.arange(tree.leaves)
+        needed.append(place[leaf[np.argsort(far, kind="stable")[: min(k, len(sample) - 1)]]])
+    visits = np.bincount(np.concatenate(needed), minlength=tree.leaves).cumsum() if len(sample) > 1 else np.ones(1)
+    return int(np.searchsorted(visits, recall * visits[-1])) + 1
 
 
 def exact(query: np.ndarray, points: np.ndarray) -> np.ndarray:
     return np.sqrt(((points - query[None, :]) ** 2).sum(1))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample_rows: int = SAMPLE_ROWS, recall: float = RECALL, ids: str = "vec_id", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
+def closest(queries: np.ndarray, points: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, distances) of at least the ``k`` nearest points of each query, with all that tie for the last.
+
+    Products of matrices choose them, with a margin above their rounding; distances are then computed directly."""
+    out, k = [], min(k, len(points))
+    norms = (points**2).sum(1)
+    for first in range(0, len(queries), max(1, CHUNK // len(points))):
+        some = queries[first : first + max(1, CHUNK // len(points))]
+        own = (some**2).sum(1)
+        far = own[:, None] - 2 * some @ points.T + norms[None, :]
+        bound = np.partition(far, k - 1, axis=1)[:, k - 1] + 1e-12 * points.shape[1] * (own + norms.max())
+        for query, row, most in zip(some, far, bound):
+            at = np.flatnonzero(row <= most)
+            out.append((at, exact(query, points[at])))
+    return out
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample_rows: int = SAMPLE_ROWS, recall: float = RECALL, ids: str = "vec_id", embedding: str = "embedding", block: int = BLOCK, queries_at_once: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found vectors of each query, its own id excepted.
 
-    The tree is fitted on about ``sample_rows`` vectors, chosen by a hash of the ids; all vectors are put in its leaves.
-    Equal vectors are searched once, with their k + 1 smallest ids: no other copy can be among the k nearest. Every query
-    goes through the leaves best bin first, as many as the calibration found; leaves are cut into blocks of about
-    ``block`` rows, queries meet only the blocks of their leaves, and each block gives on k rows a query at most.
-    A query whose leaves hold fewer than k others visits all leaves.
+    The tree is fitted on about ``sample_rows`` vectors, chosen by a hash of ids and vectors; all vectors are put in its
+    leaves. Equal vectors are searched once, with their k + 1 smallest ids: no other copy can be among the k nearest.
+    Every query goes through the leaves best bin first, as many as the calibration found; leaves are cut into blocks of
+    about ``block`` rows, the queries of a leaf into groups of about ``queries_at_once``, queries meet only the blocks of
+    their leaves, and each block gives on k rows a query, and those that tie. A query whose leaves hold fewer than k
+    others visits all leaves.
 
-    Null, zero and non-finite vectors and those of another length than most take no part. Ties go to the smaller id;
-    null ids take no part; repeated rows are candidates each; an empty table gives no rows; other columns are ignored.
+    Null, zero and non-finite vectors take no part. Vectors are compared with those of the same length, each length in a
+    tree of its own. Ties go to the smaller id; null ids take no part; repeated rows are candidates each; an empty table
+    gives no rows; other columns are ignored.
     """
-    spark, pairs = vectors.sparkSession, k + 1
+    spark = vectors.sparkSession
     whole = lambda c: c.isNotNull() & (F.size(c) > 0) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(c, lambda x: x != 0)
     as_rows = lambda df: df.select(F.col(ids).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v")).filter(F.col("id").isNotNull()).filter(F.coalesce(whole(F.col("v")), F.lit(False)))
-    rows, asked = as_rows(vectors), as_rows(queries)
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
-        return spark.createDataFrame([], schema)
-    rows, asked, total = rows.filter(F.size("v") == sizes["d"]), asked.filter(F.size("v") == sizes["d"]), sizes["count"]
-    share = int(min(1.0, sample_rows / total) * (1 << 30))
-    fit = rows.filter(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30)) < share) if share < 1 << 30 else rows
-    fitted = fit.select("v").toArrow()["v"].combine_chunks()
-    sample = np.unique(fitted.flatten().to_numpy().reshape(-1, sizes["d"]), axis=0) if len(fitted) else np.zeros((0, sizes["d"]))
-    tree = Tree(sample)
-    leaves = calibrate(tree, sample, k, recall) if len(sample) else 1
-    shared = spark.sparkContext.broadcast(tree)  # a centre for each leaf and node of the sample
+    rows, asked = as_rows(vectors), as_rows(queries).dropDuplicates(["id"])
+    lengths = asked.select(F.size("v").alias("d")).distinct()
+    counts = {r["d"]: r["count"] for r in rows.select(F.size("v").alias("d")).groupBy("d").count().join(lengths, "d").collect()}  # one row a length
+    out = None
+    with Scratch(spark) as scratch:
+        for d, total in sorted(counts.items()):
+            share = int(min(1.0, sample_rows / total) * (1 << 30))
+            own = rows.filter(F.size("v") == d)
+            fit = own.filter(F.pmod(F.xxhash64("id", "v", F.lit("fit")), F.lit(1 << 30)) < share) if share < 1 << 30 else own
+            fitted = fit.select("v").limit(2 * sample_rows).toArrow()["v"].combine_chunks()  # copies of one row are all in or out
+            sample = np.unique(fitted.flatten().to_numpy().reshape(-1, d), axis=0) if len(fitted) else np.zeros((0, d))
+            tree = Tree(sample)
+            leaves = calibrate(tree, sample, k, recall) if len(sample) else 1
+            found = _search(own, asked.filter(F.size("v") == d), total, tree, leaves, k, block, queries_at_once, scratch)
+            out = found if out is None else out.unionByName(found)
+        if out is None:
+            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return scratch.result(out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "nearest")
+
+
+def _search(rows: DataFrame, asked: DataFrame, total: int, tree: Tree, leaves: int, k: int, block: int, at_once: int, scratch: Scratch) -> DataFrame:
+    shared, pairs = rows.sparkSession.sparkContext.broadcast(tree), k + 1  # a centre for each leaf and node of the sample
 
     def put(batches):
         for frame in batches:
-            points = np.stack(frame["v"].to_list()) if len(frame) else np.zeros((0, sizes["d"]))
+            points = np.stack(frame["v"].to_list()) if len(frame) else np.zeros((0, 1))
             yield frame.assign(leaf=shared.value.assign(points).astype(np.int64))
 
     ranked = rows.withColumn("copy", F.row_number().over(Window.partitionBy(F.xxhash64("v"), "v").orderBy("id"))).filter(F.col("copy") <= pairs)
-    placed = kept(ranked.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).mapInPandas(put, "v array<double>, ids array<long>, leaf long"), "leaves")
+    placed = scratch.keep(ranked.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).mapInPandas(put, "v array<double>, ids array<long>, leaf long"), "leaves")
     blocks = placed.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))  # one row a leaf
-    stored = placed.join(F.broadcast(blocks), "leaf").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
     def route(batches):
         for frame in batches:
@@ -149,13 +177,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample_rows: in
     def search(key, points: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(points) and len(wanted):
-            stack, first = np.stack(points["v"].to_list()), points["ids"].map(lambda x: x[0]).to_numpy()
-            for id_, v in zip(wanted["id"], wanted["v"]):
-                far = exact(np.asarray(v), stack)
-                some = np.flatnonzero(far <= np.partition(far, min(pairs, len(far)) - 1)[min(pairs, len(far)) - 1])
-                some = some[np.lexsort((first[some], far[some]))]
-                own = sorted((float(far[j]), int(i)) for j in some for i in points["ids"].iloc[j] if i != id_)[:k]
-                out += [(id_, i, d) for d, i in own]
+            own = points["ids"].to_list()
+            for id_, (at, far) in zip(wanted["id"], closest(np.stack(wanted["v"].to_list()), np.stack(points["v"].to_list()), pairs)):
+                out += [(id_, i, s) for s, i in sorted((float(s), int(i)) for j, s in zip(at, far) for i in own[j] if i != id_)[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     def best(found: DataFrame) -> DataFrame:
@@ -163,14 +187,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample_rows: in
         return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
     def run(routed: DataFrame) -> DataFrame:
-        spread = routed.join(F.broadcast(blocks), "leaf").select("id", "v", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-        return stored.groupBy("leaf", "block").cogroup(spread.groupBy("leaf", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
-
-    asked = asked.dropDuplicates(["id"])
-    found = kept(best(run(asked.mapInPandas(route, "id long, v array<double>, leaf long"))), "found")
+        routed = scratch.keep(routed, "routed")
+        cut = blocks.join(routed.groupBy("leaf").agg(F.ceil(F.count("*") / at_once).cast("long").alias("groups")), "leaf")
+        cut = F.broadcast(scratch.keep(cut, "cut"))  # one row a leaf, as many as the sample bounds
+        meet = routed.join(cut, "leaf").select("id", "v", "leaf", F.pmod(F.xxhash64("id"), F.col("groups")).alias("group"), upto("blocks").alias("block"))
+        stored = placed.join(cut, "leaf").select("v", "ids", "leaf", F.pmod(F.xxhash64("v"), F.col("blocks")).alias("block"), upto("groups").alias("group"))
+        return stored.groupBy("leaf", "block", "group").cogroup(meet.groupBy("leaf", "block", "group")).applyInPandas(search, "query_id long, vec_id long, score double")
+
+    found = scratch.keep(best(run(asked.mapInPandas(route, "id long, v array<double>, leaf long"))), "found")
     enough = found.groupBy("query_id").count().filter(F.col("count") >= min(k, total - 1))
-    short = kept(asked.join(enough, F.col("id") == F.col("query_id"), "left_anti"), "short")
+    short = scratch.keep(asked.join(enough, F.col("id") == F.col("query_id"), "left_anti"), "short")
     if short.take(1):
         everywhere = short.withColumn("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tree.leaves - 1).cast("long"))))
         found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(best(run(everywhere)))
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found
