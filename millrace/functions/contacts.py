@@ -9,11 +9,15 @@ from millrace.config import CATEGORY_ORDER, DEPARTMENT_WORDS, EMAIL_BLOCKLIST, M
 from millrace.functions.text import decode_common, deobfuscate, let, squash, tokens
 from millrace.functions.urls import path
 
+#: Fixed values.
 ADDRESS = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$"
 ADDRESS_IN_TEXT = r"[A-Za-z0-9._%+\-]+\s?(?:@|\[at\]|\(at\))\s?[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 PROFILE = r"(?i)^https?://(?:[a-z]{2,3}\.)?linkedin\.com/(?:in|pub|company)/[^/?#\s]+"
 PROFILE_IN_TEXT = r"(?i)(?:https?://)?(?:[a-z]{2,3}\.)?linkedin\.com/(?:in|pub|company)/[A-Za-z0-9\-_%.]+"
 
+#: The same matches in linear time: only the start of a run of characters, or where the last match ended, can begin one.
+ADDRESS_SEARCH = ADDRESS_IN_TEXT.replace(r"[A-Za-z0-9._%+\-]+", r"(?:(?<![A-Za-z0-9._%+\-])|\G)[A-Za-z0-9._%+\-]++", 1)
+
 
 def tidy_email(raw: Column) -> Column:
     value = F.lower(decode_common(F.trim(raw)))
@@ -46,7 +50,7 @@ def clean_all(raw: Column, blocklist=EMAIL_BLOCKLIST) -> Column:
 
 def addresses_in(decoded: Column, blocklist=EMAIL_BLOCKLIST) -> Column:
     """Clean addresses of decoded text, in order, repeats kept."""
-    raw = F.regexp_extract_all(deobfuscate(decoded), F.lit(f"({ADDRESS_IN_TEXT})"), F.lit(1))
+    raw = F.regexp_extract_all(deobfuscate(decoded), F.lit(f"({ADDRESS_SEARCH})"), F.lit(1))
     return clean_all(F.transform(raw, lambda x: F.replace(x, F.lit(" "), F.lit(""))), blocklist)
 
 

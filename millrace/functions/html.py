@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # What is dropped, what is page furniture, what ends a line.
-DROPPED = frozenset("script style noscript svg canvas iframe form picture source video audio template select button".split())
-FURNITURE = frozenset("nav header footer aside".split())
+DROPPED = frozenset(("script", "style", "noscript", "svg", "canvas", "iframe", "form", "picture", "source", "video", "audio", "template", "select", "button"))
+FURNITURE = frozenset(("nav", "header", "footer", "aside"))
 FURNITURE_NAMES = re.compile("nav|menu|header|footer|cookie|consent|banner|breadcrumb|sidebar|social|newsletter|subscribe|announce|skip-link|modal|popup|toast|carousel-control|back-to-top", re.I)
-BLOCKS = frozenset("p div section article main li td th br tr".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+BLOCKS = frozenset(("p", "div", "section", "article", "main", "li", "td", "th", "br", "tr"))
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 #: An opening tag of the key closes an open one of the values.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {t: {"p"} for t in "div section article main ul ol table h1 h2 h3 h4 h5 h6 nav header footer aside form blockquote pre".split()}
 #: Elements that such closing does not go beyond.
@@ -125,7 +125,10 @@ def strip_tree(root: Node) -> None:
 
     prune(root, lambda n: n.tag in DROPPED, False)
     alone = sum(isinstance(p, Node) for p in root.parts) == 1
-    prune(root, lambda n: _furniture(n) and len(n.text()) < FURNITURE_FLOOR, alone)
+    sizes: dict[int, int] = {}
+    for node in reversed([*root.walk()]):  # children before parents
+        sizes[id(node)] = sum(len(p) if isinstance(p, str) else sizes[id(p)] for p in node.parts)
+    prune(root, lambda n: sizes[id(n)] < FURNITURE_FLOOR and _furniture(n), alone)
 
 
 def _line(text: str) -> str:

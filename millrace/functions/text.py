@@ -66,11 +66,11 @@ def rfind(text: Column, part: str) -> Column:
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+$", "")
+    return F.regexp_replace(text, r"(?U)(?<!\s)\s++$", "")
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def truncate_to_chars(text: Column, limit: Column) -> Column:
@@ -107,8 +107,9 @@ def decode_common(text: Column) -> Column:
 
 
 def deobfuscate(text: Column) -> Column:
-    at = F.regexp_replace(text, r"(?iU)\s*(?:\[at\]|\(at\)|\{at\})\s*", "@")
-    return F.regexp_replace(at, r"(?iU)\s*(?:\[dot\]|\(dot\)|\{dot\})\s*", ".")
+    # a run of white space is tried from its start alone
+    at = F.regexp_replace(text, r"(?iU)(?:(?<!\s)|\G)\s*+(?:\[at\]|\(at\)|\{at\})\s*", "@")
+    return F.regexp_replace(at, r"(?iU)(?:(?<!\s)|\G)\s*+(?:\[dot\]|\(dot\)|\{dot\})\s*", ".")
 
 
 def strip_fences(content: Column) -> Column:

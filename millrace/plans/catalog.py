@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.config import BLEND, CATEGORY_ORDER, DEPARTMENT_WORDS, EMAIL_BLOCKLIST, ESCALATE_STATUSES, MAILBOX_WORDS, MODEL_PRICES, NON_HTML, PREFERRED_PREFIXES, SCORE_WEIGHTS, SENIORITY, Settings
+from millrace.config import BLEND, CATEGORY_ORDER, COMPANY_STOP, DEPARTMENT_WORDS, EMAIL_BLOCKLIST, ESCALATE_STATUSES, MAILBOX_WORDS, MODEL_PRICES, NON_HTML, PREFERRED_PREFIXES, SCORE_WEIGHTS, SENIORITY, Settings
 from millrace.functions import contacts, html, text, urls
 from millrace.operators import corpus, discovery, extraction, people, scoring
 from millrace.plans import fixtures as fx
@@ -117,7 +117,7 @@ def contact_points_by_source(spark, sf_dir):
 
 @query(f"SELECT coalesce(reason, 'good') AS reason, count(*) AS n FROM (SELECT reason FROM {found_sql()} UNION ALL SELECT {reason_sql('raw', tidy_sql('raw'))} FROM {fx.values(fx.RAW_EMAILS)}) GROUP BY 1")
 def email_reject_reasons(spark, sf_dir):
-    raw = F.regexp_extract_all(text.deobfuscate(F.col("text")), F.lit(f"({contacts.ADDRESS_IN_TEXT})"), F.lit(1))
+    raw = F.regexp_extract_all(text.deobfuscate(F.col("text")), F.lit(f"({contacts.ADDRESS_SEARCH})"), F.lit(1))
     found = table(spark, sf_dir, "documents").select(F.explode(raw).alias("raw")).select(F.replace("raw", F.lit(" "), F.lit("")).alias("raw"))
     both = found.unionByName(fx.frame(spark, fx.RAW_EMAILS).select("raw"))
     return both.groupBy(F.coalesce(contacts.email_reject_reason(F.col("raw")), F.lit("good")).alias("reason")).agg(F.count("*").alias("n"))
@@ -390,7 +390,7 @@ def _members(spark) -> DataFrame:
 
 _STATED = "regexp_replace(lower(coalesce(affiliation, '')), '[^a-z0-9]+', '', 'g')"
 _LABEL = "regexp_replace(split_part(domain, '.', 1), '[^a-z0-9]+', '', 'g')"
-_STOP = _quoted(("the", "inc", "llc", "ltd", "labs", "lab", "group", "technologies", "tech", "software", "systems", "solutions", "company", "corp", "io", "ai", "app", "com", "co", "get", "try", "hq", "cloud", "digital", "studio", "agency"))
+_STOP = _quoted(COMPANY_STOP)
 _TOKENS = f"list_filter(regexp_split_to_array(lower(coalesce(company_name, '') || ' ' || domain), '[^a-z0-9]+') || [{_LABEL}], lambda t: length(t) >= 2 AND NOT list_contains([{_STOP}], t))"
 _OWN = f"({_STATED} = '' OR contains({_STATED}, {_LABEL}) OR contains({_LABEL}, {_STATED}) OR list_has_any({_TOKENS}, list_filter(regexp_split_to_array(lower(affiliation), '[^a-z0-9]+'), lambda t: length(t) >= 3)))"
 

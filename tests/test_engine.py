@@ -189,3 +189,29 @@ def test_streaming(spark, tmp_path):
     spark.createDataFrame(rows, "domain string, url string, page_pos int, html string, http_status int, content_type string, tier string, error string, duration double").write.parquet(str(tmp_path / "in"))
     ingest.record_stream(ingest.page_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(300)
     assert [r.domain for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["acme.test"]
+
+
+def test_long_runs_take_linear_time(spark):
+    """Texts of one unbroken run, of white space, or of many nested elements are no trap."""
+    import time
+
+    from millrace.functions import contacts, html, text
+
+    n = 2_000_000
+    runs = [("x" * n,), (" " * n + "y",), ("a@" + "b" * n,), ("[at]" + " " * n,), ("a.b@c.io" * 1000 + "x" * n,)]
+    began = time.monotonic()
+    rows = spark.createDataFrame(runs, "t string").select(F.size(contacts.addresses_in(F.col("t"), ())).alias("n"), F.length(text.strip(F.col("t"))).alias("c"), F.length(text.rstrip(F.col("t"))).alias("r")).collect()
+    assert time.monotonic() - began < 60
+    assert [r.n for r in rows][:2] == [0, 0] and rows[1].c == 1 and rows[1].r == n + 1
+    began = time.monotonic()
+    assert html.markdown_of('<div class="nav">' * 8000 + "z" * 2000 + "</div>" * 8000) == "z" * 2000
+    assert time.monotonic() - began < 10
+
+
+def test_addresses_that_touch(spark):
+    from millrace.functions import contacts, text
+
+    said = ["a@b.comx_y@d.com", "a@b.co;c@d.co", "x [at] [at] y", "p  (at)  q.io (dot) z", "a@b.co" * 3]
+    row = spark.createDataFrame([(s,) for s in said], "t string").select(F.regexp_extract_all("t", F.lit(f"({contacts.ADDRESS_SEARCH})"), F.lit(1)).alias("a"), F.regexp_extract_all("t", F.lit(f"({contacts.ADDRESS_IN_TEXT})"), F.lit(1)).alias("b"), text.deobfuscate(F.col("t")).alias("d")).collect()
+    assert all(r.a == r.b for r in row) and row[0].a == ["a@b.comx", "_y@d.com"]
+    assert row[2].d == "x@@y" and row[3].d == "p@q.io.z"
