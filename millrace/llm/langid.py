@@ -109,6 +109,10 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> n
     return out
 
 
+#: Labels that a model can hold.
+MAX_LANGUAGES = 200
+
+
 class Model:
     """Log probabilities of feature buckets for each language, and the scripts that each uses."""
 
@@ -174,14 +178,17 @@ class Model:
 
 
 def learn(docs: DataFrame, train: Column, sample_rows: int = SAMPLE_ROWS, ids: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fit the model on about ``sample_rows`` of the labelled training rows, chosen by a hash of their ids.
+    """Fit the model on about ``sample_rows`` of the labelled training rows, chosen by a hash of ids and texts.
+    More than MAX_LANGUAGES labels are an error, since each takes 2^BITS numbers wherever the model goes.
 
     Features are counted where the rows are and summed by Spark; the driver gets at most 2^BITS numbers a language.
     """
     rows = docs.select(docs[ids].alias("id"), docs[text].alias("text"), docs[lang].cast("string").alias("lang")).filter(F.coalesce(train, F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = rows.count()
+    total, named = rows.agg(F.count("*"), F.count_distinct("lang")).first()
+    if named > MAX_LANGUAGES:
+        raise ValueError(f"{named} languages; at most {MAX_LANGUAGES} can be told apart")
     if total > sample_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < int(sample_rows / total * (1 << 30)))
+        rows = rows.filter(F.pmod(F.xxhash64("id", "text", F.lit("sample")), F.lit(1 << 30)) < int(sample_rows / total * (1 << 30)))
 
     def count(batches):
         found: dict[str, np.ndarray] = {}
@@ -225,7 +232,8 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, ids: str = "
     Returns one row per input row: the id, the columns of ``keep``, lang_pred (the language with most bytes of words),
     score (its share of them, 0 to 1) and spans (byte ranges of one language each).
 
-    A word is a run of letters. Its scripts narrow the languages, byte n-grams score it, and the best sequence of labels
+    A word is a run of letters. Its scripts narrow the languages (one that was not learnt in a word's script loses a fixed
+    number of nats, so that a text wholly in an unknown script still gets the nearest one), byte n-grams score it, and the best sequence of labels
     under ``switch`` nats for each change is found by Viterbi. One pass without a shuffle; the model is 2^BITS numbers
     for each language. Null texts, texts without a letter, and all texts of a model without languages get `und` and 0;
     ties go to the first language by name; null ids and repeated rows are rows as any; other columns are ignored.

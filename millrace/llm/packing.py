@@ -224,7 +224,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers=TIERS
     balanced) and ids (little-endian unsigned 32-bit).
 
     Map only: each partition packs its own rows, a pool of ``pool`` tokens at a time, carrying on what does not fill a
-    window; the last rest of a partition goes to windows at powers of two. Nothing is shuffled and nothing is padded.
+    window; the last rest of a partition, less than a window, goes to at most a dozen short windows at powers of two.
+    Nothing is shuffled and nothing is padded; to pack those rests together would take a second pass over all tokens.
+    sequence_id and step_id count from the number of the partition, so they depend on how the table is split.
     Null and empty texts are the end id alone; null ids and repeated rows are documents of their own; an empty table has
     no pieces; very long texts are tokenised in pieces; other columns are ignored.
     """

@@ -229,13 +229,13 @@ SCHEMA = "n_tokens long, n_known long, base_score double, score double"
 def score_corpus(docs: DataFrame, train: Column, order: int = ORDER, ids: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Score whole texts by the rows for which ``train`` holds.
 
-    Returns one row per input row: the id, held_out (train does not hold; it counts as held where it is null), n_tokens,
+    Returns one row per input row: the id, held_out (train does not hold; a row for which it is null is learnt from), n_tokens,
     n_known, train_tokens, base_score (word unigrams, add 0.5, A-Z lower-cased, with an end token) and score (log10
     probability of the bytes and the end under PPM of ``order`` context bytes, method C with exclusion).
 
     A first pass counts words and byte contexts of all rows in each task and sums them by key. Contexts that only scored
     rows have get a count of 0, so that every key's probability is known before the second pass. That pass looks keys up
-    in broadcast tables if these have at most ``broadcast_rows`` rows; else texts are dealt into blocks by their ids, and
+    in broadcast tables if these have at most ``broadcast_rows`` rows; else texts are dealt into blocks by ids and texts, and
     each block is joined with the values of its own distinct keys. Words are told apart by 64-bit hashes.
 
     Null and empty texts are the end alone; without training rows every symbol has 1/256; null ids and repeated rows are
@@ -299,7 +299,7 @@ def score_corpus(docs: DataFrame, train: Column, order: int = ORDER, ids: str =
         return rows.mapInArrow(score, schema)
 
     blocks = max(1, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(ids, F.length("text")), F.lit(blocks)))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(ids, "text"), F.lit(blocks)))
 
     def wanted(block: pa.Table) -> pa.Table:
         found = []

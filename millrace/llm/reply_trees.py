@@ -116,7 +116,7 @@ def format_trees(messages: DataFrame, top: int | None = 1, tree: str = "tree_id"
     Only ids are joined with themselves, log2 of the depth times; texts are joined to the paths once, dealt by path and
     formatted one conversation at a time. Null texts and roles are empty; null scores are 0; a null tree is a tree;
     messages with a null node are left out; of messages with equal tree and node the smallest (parent, role, text)
-    stays; messages on or below a cycle of replies belong to no path; other columns are ignored.
+    stays; messages on or below a cycle of replies belong to no path (``left_out`` lists all these); other columns are ignored.
     """
     kind = dict(messages.select(tree).dtypes)[tree]
     value = F.lit(0.0) if score is None else F.coalesce(F.col(score).cast("double"), F.lit(0.0))
@@ -160,6 +160,21 @@ def format_trees(messages: DataFrame, top: int | None = 1, tree: str = "tree_id"
     return dealt.select("tree", "rank", "own", "branch_score", "role", "text").mapInArrow(run, f"`{tree}` {kind}, {SCHEMA}")
 
 
+def left_out(messages: DataFrame, tree: str = "tree_id", node: str = "node_id", parent: str = "parent_id") -> DataFrame:
+    """(tree, node, reason, n): the messages that ``format_trees`` leaves out, and how many rows they are: `no node`,
+    `repeated` (all but one of equal tree and node), and `cycle` (on or below a cycle of replies)."""
+    kind = dict(messages.select(node).dtypes)[node]
+    key = F.coalesce(F.concat(F.lit("="), F.col(tree).cast("string")), F.lit("null"))
+    rows = messages.select(key.alias("tree"), F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(tree).alias("own"))
+    named = rows.filter("node is not null").groupBy("tree", "node").agg(F.min("own").alias("own"), F.min("parent").alias("parent"), F.count("*").alias("rows"))
+    named = kept(named, "named")
+    _, ways = pointers(named.select("tree", "node", "parent", F.lit(0.0).alias("score")))
+    lost = named.join(ways.select("tree", "node"), ["tree", "node"], "left_anti").select("own", "node", F.lit("cycle").alias("reason"), F.lit(1).cast("long").alias("n"))
+    repeated = named.filter("rows > 1").select("own", "node", F.lit("repeated").alias("reason"), (F.col("rows") - 1).alias("n"))
+    without = rows.filter("node is null").groupBy("own").agg(F.count("*").alias("n")).select("own", F.lit(None).cast(kind).alias("node"), F.lit("no node").alias("reason"), "n")
+    return lost.unionByName(repeated).unionByName(without).withColumnRenamed("own", tree).withColumnRenamed("node", node)
+
+
 def linear(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Linear conversations as trees: every turn replies to the one before. Ties of a turn go by role, then text."""
     order = Window.partitionBy(conversation).orderBy(turn, role, text)

@@ -119,6 +119,38 @@ def test_reply_trees(spark):
     assert (row.loss_chars, row.loss_sha256) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
 
 
+def test_branches_match_brute_force(spark):
+    from millrace.llm.reply_trees import format_trees, left_out, read_turns
+
+    rng = random.Random(12)
+    given = []
+    for t in range(6):
+        for i in range(rng.choice([1, 2, 30, 60])):
+            given.append((t, i, rng.randrange(i) if i and rng.random() < 0.95 else None, "user", f"{t}-{i}", rng.randint(-3, 3) / 2))
+    given += [(0, 1000, 1001, "user", "loop", 0.0), (0, 1001, 1000, "user", "loop", 0.0), (0, 1002, 1001, "user", "below", 0.0), (1, None, 0, "user", "lost", 0.0), (1, 0, None, "user", "1-0", -9.0), (1, 0, None, "user", "1-0", -9.0)]
+    nodes = {}
+    for t, i, up, _, text, score in given:
+        if i is not None and i < 1000:
+            nodes[t, i] = min(nodes.get((t, i), (up, text, score)), (up, text, score), key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))
+    parents, want = {(t, up) for (t, _), (up, _, _) in nodes.items() if up is not None}, collections.defaultdict(list)
+    for t, i in nodes:
+        if (t, i) not in parents:
+            path, at = [], i
+            while at is not None:
+                path.append(at)
+                at = nodes[t, at][0]
+            want[t].append((-sum(nodes[t, x][2] for x in path) / len(path), i, [("user", nodes[t, x][1]) for x in reversed(path)]))
+    frame = spark.createDataFrame(given, "tree_id long, node_id long, parent_id long, role string, text string, score double")
+    every = {(r.tree_id, r.branch_rank): read_turns(r.formatted) for r in format_trees(frame, top=None, score="score").collect()}
+    assert every == {(t, k + 1): turns for t, own in want.items() for k, (_, _, turns) in enumerate(sorted(own))}
+    first = {(r.tree_id, r.branch_rank) for r in format_trees(frame, top=2, score="score").collect()}
+    assert first == {k for k in every if k[1] <= 2}
+    lost = collections.Counter()
+    for r in left_out(frame).collect():
+        lost[r.reason] += r.n
+    assert lost == {"cycle": 3, "no node": 1, "repeated": 2}
+
+
 def test_mixing(spark, docs, rows, none):
     from millrace.llm.mixing import mix_sources, round_chances
 
