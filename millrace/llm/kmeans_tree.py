@@ -16,7 +16,7 @@ SAMPLE_ROWS = 100_000
 #: Children of an inner node, vectors of a leaf (as sampled), rows of a block of a leaf, and queries that meet it at once.
 BRANCH, LEAF, BLOCK, QUERIES = 8, 64, 20_000, 4096
 #: Recall at which the visits of leaves are calibrated, and the queries that serve for it.
-RECALL, TRIALS = 0.96, 300
+RECALL, TRIALS = 0.95, 300
 #: Distances that are computed at once.
 CHUNK = 1 << 20
 
@@ -102,8 +102,9 @@ def exact(query: np.ndarray, points: np.ndarray) -> np.ndarray:
     return np.sqrt(((points - query[None, :]) ** 2).sum(1))
 
 
-def closest(queries: np.ndarray, points: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(places, distances) of at least the ``k`` nearest points of each query, with all that tie for the last.
+def closest(queries: np.ndarray, points: np.ndarray, k: int, member) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, distances) of at least the ``k`` nearest points of each query that ``member`` (first, last query)
+    allows, with all that tie for the last.
 
     Products of matrices choose them, with a margin above their rounding; distances are then computed directly."""
     out, k = [], min(k, len(points))
@@ -111,10 +112,11 @@ def closest(queries: np.ndarray, points: np.ndarray, k: int) -> list[tuple[np.nd
     for first in range(0, len(queries), max(1, CHUNK // len(points))):
         some = queries[first : first + max(1, CHUNK // len(points))]
         own = (some**2).sum(1)
-        far = own[:, None] - 2 * some @ points.T + norms[None, :]
+        allowed = member(first, first + len(some))
+        far = np.where(allowed, own[:, None] - 2 * some @ points.T + norms[None, :], np.inf)
         bound = np.partition(far, k - 1, axis=1)[:, k - 1] + 1e-12 * points.shape[1] * (own + norms.max())
-        for query, row, most in zip(some, far, bound):
-            at = np.flatnonzero(row <= most)
+        for query, row, most, ok in zip(some, far, bound, allowed):
+            at = np.flatnonzero((row <= most) & ok)
             out.append((at, exact(query, points[at])))
     return out
 
@@ -124,10 +126,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample_rows: in
 
     The tree is fitted on about ``sample_rows`` vectors, chosen by a hash of ids and vectors; all vectors are put in its
     leaves. Equal vectors are searched once, with their k + 1 smallest ids: no other copy can be among the k nearest.
-    Every query goes through the leaves best bin first, as many as the calibration found; leaves are cut into blocks of
-    about ``block`` rows, the queries of a leaf into groups of about ``queries_at_once``, queries meet only the blocks of
-    their leaves, and each block gives on k rows a query, and those that tie. A query whose leaves hold fewer than k
-    others visits all leaves.
+    Every query goes through the leaves best bin first, as many as the calibration found. Neighbouring leaves are stored
+    together in shards of about ``block`` rows, larger leaves are cut into blocks of them; a query goes once to each
+    shard that it visits, with the leaves that it may look at there, in groups of about ``queries_at_once``, and each
+    block gives on k rows of it. A query whose leaves hold fewer than k others visits all leaves.
 
     Null, zero and non-finite vectors take no part. Vectors are compared with those of the same length, each length in a
     tree of its own. Ties go to the smaller id; null ids take no part; repeated rows are candidates each; an empty table
@@ -156,8 +158,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample_rows: in
         return scratch.result(out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "nearest")
 
 
+def shards_of(counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shard, blocks) of each leaf: neighbouring leaves make shards of about ``block`` rows; a larger leaf is a shard
+    that is cut into blocks."""
+    shard, blocks, last, held = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
+    for leaf, n in enumerate(counts.tolist()):
+        if held and held + n > block:
+            last, held = last + 1, 0
+        shard[leaf], held = last, held + n
+        blocks[leaf] = max(1, -(-n // block))
+    return shard, blocks
+
+
 def _search(rows: DataFrame, asked: DataFrame, total: int, tree: Tree, leaves: int, k: int, block: int, at_once: int, scratch: Scratch) -> DataFrame:
-    shared, pairs = rows.sparkSession.sparkContext.broadcast(tree), k + 1  # a centre for each leaf and node of the sample
+    spark, pairs = rows.sparkSession, k + 1
+    shared = spark.sparkContext.broadcast(tree)  # a centre for each leaf and node of the sample
 
     def put(batches):
         for frame in batches:
@@ -166,19 +181,35 @@ def _search(rows: DataFrame, asked: DataFrame, total: int, tree: Tree, leaves: i
 
     ranked = rows.withColumn("copy", F.row_number().over(Window.partitionBy(F.xxhash64("v"), "v").orderBy("id"))).filter(F.col("copy") <= pairs)
     placed = scratch.keep(ranked.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).mapInPandas(put, "v array<double>, ids array<long>, leaf long"), "leaves")
-    blocks = placed.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))  # one row a leaf
+    counts = np.zeros(max(1, tree.leaves), np.int64)
+    for r in placed.groupBy("leaf").count().collect():  # one row a leaf
+        counts[r["leaf"]] = r["count"]
+    shard, blocks = shards_of(counts, block)
+    cut = spark.createDataFrame([(i, int(s), int(b)) for i, (s, b) in enumerate(zip(shard, blocks))], "leaf long, shard long, blocks long")
+    per_shard = {int(s): int(blocks[shard == s].max()) for s in np.unique(shard)}
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own_shard = spark.sparkContext.broadcast(shard)
 
-    def route(batches):
-        for frame in batches:
-            found = [shared.value.visit(np.asarray(v), leaves) for v in frame["v"]]
-            yield pd.DataFrame({"id": frame["id"].repeat([len(f) for f in found]).to_numpy(), "v": frame["v"].repeat([len(f) for f in found]).to_numpy(), "leaf": np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)})
+    def route(everywhere: bool):
+        def run(batches):
+            for frame in batches:
+                for first in range(0, len(frame), 256):
+                    out = []
+                    for id_, v in zip(frame["id"][first : first + 256], frame["v"][first : first + 256]):
+                        found = np.arange(len(own_shard.value)) if everywhere else np.sort(shared.value.visit(np.asarray(v), leaves))
+                        out += [(id_, v, int(s), found[own_shard.value[found] == s]) for s in np.unique(own_shard.value[found])]
+                    yield pd.DataFrame(out, columns=["id", "v", "shard", "visits"])
+
+        return run
 
     def search(key, points: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(points) and len(wanted):
-            own = points["ids"].to_list()
-            for id_, (at, far) in zip(wanted["id"], closest(np.stack(wanted["v"].to_list()), np.stack(points["v"].to_list()), pairs)):
+            own, leaf = points["ids"].to_list(), points["leaf"].to_numpy()
+            names, at_leaf = np.unique(leaf, return_inverse=True)
+            visits = wanted["visits"].to_list()
+            member = lambda first, last: np.stack([np.isin(names, x) for x in visits[first:last]])[:, at_leaf]
+            for id_, (at, far) in zip(wanted["id"], closest(np.stack(wanted["v"].to_list()), np.stack(points["v"].to_list()), pairs, member)):
                 out += [(id_, i, s) for s, i in sorted((float(s), int(i)) for j, s in zip(at, far) for i in own[j] if i != id_)[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
@@ -186,18 +217,17 @@ def _search(rows: DataFrame, asked: DataFrame, total: int, tree: Tree, leaves: i
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
         return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
-    def run(routed: DataFrame) -> DataFrame:
-        routed = scratch.keep(routed, "routed")
-        cut = blocks.join(routed.groupBy("leaf").agg(F.ceil(F.count("*") / at_once).cast("long").alias("groups")), "leaf")
-        cut = F.broadcast(scratch.keep(cut, "cut"))  # one row a leaf, as many as the sample bounds
-        meet = routed.join(cut, "leaf").select("id", "v", "leaf", F.pmod(F.xxhash64("id"), F.col("groups")).alias("group"), upto("blocks").alias("block"))
-        stored = placed.join(cut, "leaf").select("v", "ids", "leaf", F.pmod(F.xxhash64("v"), F.col("blocks")).alias("block"), upto("groups").alias("group"))
-        return stored.groupBy("leaf", "block", "group").cogroup(meet.groupBy("leaf", "block", "group")).applyInPandas(search, "query_id long, vec_id long, score double")
+    def run(some: DataFrame, everywhere: bool = False) -> DataFrame:
+        routed = scratch.keep(some.mapInPandas(route(everywhere), "id long, v array<double>, shard long, visits array<long>"), "routed")
+        groups = {r["shard"]: -(-r["count"] // at_once) for r in routed.groupBy("shard").count().collect()}  # one row a shard
+        sizes = F.broadcast(spark.createDataFrame([(s, n, groups[s]) for s, n in per_shard.items() if s in groups], "shard long, most long, groups long"))
+        meet = routed.join(sizes, "shard").select("id", "v", "visits", "shard", F.pmod(F.xxhash64("id"), F.col("groups")).alias("group"), upto("most").alias("block"))
+        stored = placed.join(F.broadcast(cut), "leaf").join(sizes, "shard").select("v", "ids", "leaf", "shard", F.pmod(F.xxhash64("v"), F.col("blocks")).alias("block"), upto("groups").alias("group"))
+        return stored.groupBy("shard", "block", "group").cogroup(meet.groupBy("shard", "block", "group")).applyInPandas(search, "query_id long, vec_id long, score double")
 
-    found = scratch.keep(best(run(asked.mapInPandas(route, "id long, v array<double>, leaf long"))), "found")
+    found = scratch.keep(best(run(asked)), "found")
     enough = found.groupBy("query_id").count().filter(F.col("count") >= min(k, total - 1))
     short = scratch.keep(asked.join(enough, F.col("id") == F.col("query_id"), "left_anti"), "short")
     if short.take(1):
-        everywhere = short.withColumn("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tree.leaves - 1).cast("long"))))
-        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(best(run(everywhere)))
+        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(best(run(short, True)))
     return found
