@@ -13,6 +13,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 PIECE = 1 << 19
 SHINGLE = 5
@@ -68,6 +69,16 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(kind).to_pylist()]
 
 
+def small(batches, name: str = "text", limit: int = 1 << 22):
+    """Batches cut, without a copy, into runs of rows of about ``limit`` bytes of text, or one row; empty ones stay."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(batch.schema.get_field_index(name))).fill_null(0).to_numpy(zero_copy_only=False)
+        place = (np.cumsum(sizes) - sizes) // limit
+        cuts = [*np.flatnonzero(np.diff(place, prepend=-1)).tolist(), len(sizes)]
+        for first, last in zip(cuts, cuts[1:]) if len(sizes) else ((0, 0),):
+            yield batch.slice(first, last - first)
+
+
 def groups(texts: list[bytes], limit: int = PIECE):
     """Ranges of consecutive texts of ``limit`` bytes or one text."""
     start = size = 0

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._text import Scratch, of_each, shingles, texts_of
+from millrace.llm._text import Scratch, of_each, shingles, small, texts_of
 
 #: Hashes kept by a sketch, and hex digits of each (48 bits).
 K, DIGITS = 64, 12
@@ -85,7 +85,7 @@ def fingerprint(docs: DataFrame, ids: str = "doc_id", text: str = "text", k: int
     kind = dict(docs.select(ids).dtypes)[ids]
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             found = fingerprint_texts(texts_of(batch, "text"), k)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode(x) for x in found], pa.string()), pa.array([distinct(x, k) for x in found], pa.float64())], names=[ids, "fingerprint", "n_shingles"])
 
@@ -183,7 +183,7 @@ def edited_neighbours(docs: DataFrame, ids: str = "doc_id", text: str = "text",
             a, b = found[: len(rows)], found[len(rows) :]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in raw], pa.string()), pa.array([encode(x) for x in a], pa.string()), pa.array([encode(x) for x in b], pa.string()), pa.array([resemblance(x, y, k) for x, y in zip(a, b)], pa.float64()), pa.array([resemblance(x, y, k) for x, y in zip(a, nexts)], pa.float64()), pa.array([distinct(x, k) for x in a], pa.float64()), pa.array([containment(x, y, k) for x, y in zip(a, b)], pa.float64())], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles", "contained_edited"])
 
-        for batch in batches:
+        for batch in small(batches):
             rows, size = [], 0
             for id_, range_, text_, ahead in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if waiting is not None and last == range_:

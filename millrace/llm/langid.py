@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._text import LOWER, PIECE, pieces, texts_of
+from millrace.llm._text import LOWER, PIECE, pieces, small, texts_of
 
 #: Hashed byte n-grams: 2^BITS features for each language.
 BITS = 18
@@ -193,7 +193,7 @@ def learn(docs: DataFrame, train: Column, sample_rows: int = SAMPLE_ROWS, ids: s
     def count(batches):
         found: dict[str, np.ndarray] = {}
         scripts: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in small(batches):
             langs, texts = batch.column(0).to_pylist(), texts_of(batch, "text")
             for name in sorted(set(langs)):
                 own = [t for t, k in zip(texts, langs) if k == name]
@@ -233,20 +233,21 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, ids: str = "
     score (its share of them, 0 to 1) and spans (byte ranges of one language each).
 
     A word is a run of letters. Its scripts narrow the languages (one that was not learnt in a word's script loses a fixed
-    number of nats, so that a text wholly in an unknown script still gets the nearest one), byte n-grams score it, and the best sequence of labels
-    under ``switch`` nats for each change is found by Viterbi. One pass without a shuffle; the model is 2^BITS numbers
-    for each language. Null texts, texts without a letter, and all texts of a model without languages get `und` and 0;
+    number of nats, so that a text wholly in an unknown script still gets the nearest one), byte n-grams score it, and
+    the best sequence of labels under ``switch`` nats for each change is found by Viterbi, which holds the words of one
+    text at a time. One pass without a shuffle; the model is 2^BITS numbers for each language. Null texts, texts without a letter, and all texts of a model without languages get `und` and 0;
     ties go to the first language by name; null ids and repeated rows are rows as any; other columns are ignored.
     """
     kinds = dict(docs.select(ids, *keep).dtypes)
+    body, n_kept = text if text in keep and dict(docs.dtypes)[text] == "string" else "__text", 1 + len(keep)  # once only
     shared = docs.sparkSession.sparkContext.broadcast(model)
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def run(batches):
-        for batch in batches:
-            found = list(shared.value.label(texts_of(batch, "__text"), switch))
+        for batch in small(batches, body):
+            found = list(shared.value.label(texts_of(batch, body), switch))
             spans = pa.array([[{"start": a, "end": b, "lang": k} for a, b, k in x[2]] for x in found], spans_type)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), spans], names=[ids, *keep, "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), spans], names=[ids, *keep, "lang_pred", "score", "spans"])
 
-    wanted = docs.select(ids, *keep, docs[text].alias("__text"))
+    wanted = docs.select(ids, *keep, *([] if body == text else [docs[text].alias(body)]))
     return wanted.mapInArrow(run, ", ".join(f"`{k}` {v}" for k, v in kinds.items()) + ", " + SCHEMA)

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm._text import groups, texts_of, word_bounds
+from millrace.llm._text import groups, small, texts_of, word_bounds
 
 #: Phrases and labels of the base scan.
 BASE_PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -264,7 +264,7 @@ def scan_licenses(docs: DataFrame, ids: str = "doc_id", text: str = "text", rule
     types = pa.schema([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("detections", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("score", pa.float64())])))])
 
     def scan(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts, rows = texts_of(batch, "text"), []
             counts = word_counts(texts)
             for text_, n in zip(texts, counts.tolist()):

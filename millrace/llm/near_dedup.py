@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._text import Scratch, kept, mix, of_each, shingles, texts_of
+from millrace.llm._text import Scratch, kept, mix, of_each, shingles, small, texts_of
 
 #: 2^BUCKETS hashed document frequencies: a bound on what is broadcast.
 BUCKETS, SLICES = 20, 64
@@ -123,7 +123,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
         from pyspark import TaskContext
 
         table, seen = np.zeros(1 << BUCKETS, np.int64), False
-        for batch in batches:
+        for batch in small(batches):
             seen = True
             for words in of_each(texts_of(batch, "text")):
                 if len(words):
@@ -288,7 +288,7 @@ def with_hashes(rows: DataFrame, table=None) -> DataFrame:
     """(id, node) of rows (id, text), and (bands) if a table of IDF is given. ``node`` is null for a text without words."""
 
     def sample(batches):
-        for batch in batches:
+        for batch in small(batches):
             nodes, bands, sets, at = [], [], [], []
 
             def flush():
@@ -318,7 +318,7 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     """(node, keys, counts) of rows (id, text): the shingles of each text as packed numbers; counts of 1 are left out."""
 
     def sets(batches):
-        for batch in batches:
+        for batch in small(batches):
             nodes, keys, counts = [], [], []
             for words in of_each(texts_of(batch, "text")):
                 if len(words):
@@ -442,7 +442,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, ids: str = "doc_id",
 
 def _with_node(rows: DataFrame, text: str) -> DataFrame:
     def add(batches):
-        for batch in batches:
+        for batch in small(batches, text):
             nodes = [text_hash(words) if len(words) else None for words in of_each(texts_of(batch, text))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, "node"])
 

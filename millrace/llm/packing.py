@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm._text import _hash_joined, groups, pieces, texts_of, word_bounds
+from millrace.llm._text import _hash_joined, groups, pieces, small, texts_of, word_bounds
 
 #: Context sizes, longest first; all are powers of two.
 TIERS = (4096, 2048, 1024, 512)
@@ -254,7 +254,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers=TIERS
             return batch
 
         new = []
-        for batch in batches:
+        for batch in small(batches):
             state["kind"] = batch.schema.field(0).type
             for id_, tokens in zip(batch.column(0).to_pylist(), words.encode(texts_of(batch, "text"))):
                 held[state["key"]] = (id_, np.append(tokens, np.uint32(end_id)).astype("<u4"))

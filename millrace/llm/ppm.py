@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._text import PIECE, groups, hashed_words, kept, mix, texts_of
+from millrace.llm._text import PIECE, groups, hashed_words, kept, mix, small, texts_of
 
 #: Context bytes of the trie's deepest nodes.
 ORDER = 5
@@ -247,7 +247,7 @@ def score_corpus(docs: DataFrame, train: Column, order: int = ORDER, ids: str =
 
     def count(batches):
         words, others, grams = Counter(WORD), Counter(WORD, 1), Counter(GRAM)
-        for batch in batches:
+        for batch in small(batches):
             texts, learns = texts_of(batch, "text"), batch.column(2).to_pylist()
             for wanted in (True, False):
                 own = [t for t, yes in zip(texts, learns) if yes == wanted]
@@ -293,7 +293,7 @@ def score_corpus(docs: DataFrame, train: Column, order: int = ORDER, ids: str =
         def score(batches):
             own = Lookup(shared.value[0], shared.value[1], -1.0)
             own_grams = Lookup(shared.value[2], shared.value[3], 0.0)
-            for batch in batches:
+            for batch in small(batches):
                 yield scored(batch, own, own_grams)
 
         return rows.mapInArrow(score, schema)
