@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.config import BLEND, CATEGORY_ORDER, COMPANY_STOP, DEPARTMENT_WORDS, EMAIL_BLOCKLIST, ESCALATE_STATUSES, MAILBOX_WORDS, MODEL_PRICES, NON_HTML, PREFERRED_PREFIXES, SCORE_WEIGHTS, SENIORITY, Settings
+from millrace.config import BLEND, CATEGORY_ORDER, COMPANY_STOP, DEPARTMENT_WORDS, EMAIL_BLOCKLIST, ESCALATE_STATUSES, MAILBOX_WORDS, MODEL_PRICES, NAME_NOISE, NO_ROLE, NON_HTML, PREFERRED_PREFIXES, ROLE_STOP, SCORE_WEIGHTS, SENIORITY, Settings
 from millrace.functions import contacts, html, text, urls
 from millrace.operators import corpus, discovery, extraction, people, scoring
 from millrace.plans import fixtures as fx
@@ -223,12 +223,22 @@ def anchor_candidates(spark, sf_dir):
     return discovery.prune(raw, Settings()).select(F.col("domain").alias("host"), "url")
 
 
-@query()
+_LISTED = r"(SELECT domain, unnest(regexp_extract_all(body, '(?i)sitemap:\s*(\S+)', 1)) AS sitemap_url FROM " + fx.values(fx.ROBOTS) + " UNION SELECT domain, 'https://' || domain || '/sitemap.xml' FROM " + fx.values(fx.ROBOTS) + ")"
+_LOCS = lambda like: rf"(SELECT s.domain, sitemap_url, i, regexp_extract_all(body, '<loc>([^<]*)</loc>', 1)[i] AS loc FROM {fx.values(fx.SITEMAPS)} s, unnest(range(1, 100)) AS r(i) WHERE body LIKE '{like}%' AND i <= len(regexp_extract_all(body, '<loc>([^<]*)</loc>', 1)))"
+_INNER = f"(SELECT domain, loc AS sitemap_url FROM {_LOCS('<sitemapindex')} JOIN {_LISTED} USING (domain, sitemap_url))"
+
+
+@query(f"""SELECT domain, loc AS url, CAST(row_number() OVER (PARTITION BY domain ORDER BY inner_map, i) - 1 AS INTEGER) AS pos
+    FROM {_LOCS('<urlset')} JOIN (SELECT *, false AS inner_map FROM {_LISTED} UNION ALL SELECT *, true FROM {_INNER}) USING (domain, sitemap_url)""")
 def sitemap_urls(spark, sf_dir):
     return discovery.sitemap_urls(fx.frame(spark, fx.SITEMAPS), fx.frame(spark, fx.ROBOTS))
 
 
-@query()
+_RULES = rf"(SELECT domain, i, lower(trim(split_part(line, ':', 1))) AS kind, trim(split_part(line, ':', 2)) AS prefix FROM (SELECT domain, i, string_split(body, chr(10))[i] AS line FROM {fx.values(fx.ROBOTS)}, unnest(range(1, 100)) AS r(i) WHERE i <= len(string_split(body, chr(10)))))"
+
+
+@query(f"""SELECT 'https://' || domain || path AS url, coalesce((SELECT arg_min(kind, i) FROM {_RULES} x WHERE x.domain = r.domain AND kind IN ('allow', 'disallow') AND starts_with(path, prefix)), 'allow') = 'allow' AS allowed
+    FROM {fx.values(fx.ROBOTS)} r, (VALUES ('/'), ('/private/x'), ('/private/press'), ('/tmp/a'), ('/about')) AS p(path)""")
 def robots_allowed(spark, sf_dir):
     paths = F.explode(F.array(*[F.lit(p) for p in ("/", "/private/x", "/private/press", "/tmp/a", "/about")])).alias("path")
     asked = fx.frame(spark, fx.ROBOTS).select("domain", "body", paths).withColumn("url", F.concat(F.lit("https://"), "domain", "path"))
@@ -440,25 +450,63 @@ def _pairs(spark) -> DataFrame:
     return people.score_hits(own.join(hits, ["domain", "name_key"]))
 
 
-@query()
+# SQL of the same, for texts without accents
+_WORDS = lambda x, n=2: f"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^a-z0-9]+'), lambda t: length(t) >= {n}))"
+_SQUASHED = lambda x: f"regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', '', 'g')"
+_INSIDE = lambda part, whole: f"len(list_filter({part}, lambda t: NOT list_contains({whole}, t))) = 0"
+_HIT_ROWS = f"""(SELECT m.domain, m.pos, m.name, m.title, lower(m.name) AS name_key, h.rank, h.title AS hit_title, h.url AS hit_url, h.snippet, h.error AS hit_error, regexp_replace(split_part(m.domain, '.', 1), '[^a-z0-9]+', '', 'g') AS label,
+    {_TOKENS.replace('domain', 'm.domain')} AS tokens, list_filter(regexp_split_to_array(lower(m.name), '[^a-z0-9]+'), lambda t: length(t) >= 2 AND NOT list_contains([{_quoted(NAME_NOISE)}], t)) AS parts,
+    {_canon('h.url')} AS url, coalesce(h.title, '') || ' ' || coalesce(h.snippet, '') AS body FROM {fx.values(fx.MEMBERS)} m JOIN {fx.values(fx.COMPANIES)} c ON m.domain = c.domain LEFT JOIN {fx.values(fx.HITS)} h ON h.domain = m.domain AND h.name_key = lower(m.name))"""
+_NAMED = "(list_contains({0}, parts[1]) OR contains({1}, parts[1])) AND (list_contains({0}, parts[-1]) OR contains({1}, parts[-1]))"
+_MARKS = f"""(SELECT *, {_NAMED.format(_WORDS('slug'), _SQUASHED('slug'))} AS in_slug, list_contains({_WORDS('hit_title')}, parts[1]) AND list_contains({_WORDS('hit_title')}, parts[-1]) AS in_title,
+    (label <> '' AND contains({_SQUASHED('body')}, label)) OR list_has_any(list_filter(tokens, lambda t: length(t) >= 4), {_WORDS('body')} || {_WORDS('slug')}) AS company,
+    list_has_any(list_filter({_WORDS('title', 3)}, lambda t: NOT list_contains([{_quoted(ROLE_STOP)}], t)), {_WORDS('body')}) AS in_role FROM (SELECT *, coalesce(url_decode(split_part(url, '/in/', 2)), '') AS slug FROM {_HIT_ROWS}))"""
+_SCORED = f"""(SELECT *, url IS NOT NULL AND len(parts) >= 2 AND (in_slug OR in_title) AND (company OR in_role) AS good, round(least(0.95, CASE WHEN in_slug AND in_title THEN 0.8 WHEN in_slug THEN 0.7 ELSE 0.55 END + CASE WHEN company THEN 0.2 ELSE 0 END + CASE WHEN in_role THEN 0.1 ELSE 0 END), 2)::DOUBLE AS sure,
+    concat_ws('; ', CASE WHEN in_slug AND in_title THEN 'name matches profile slug and result title' WHEN in_slug THEN 'name matches profile slug' ELSE 'name matches result title' END, CASE WHEN company THEN 'company corroborated in search result' END, CASE WHEN in_role THEN 'role corroborated in search result' END) AS said FROM {_MARKS})"""
+_SEGMENTS = rf"""(SELECT *, segments[i] AS raw FROM (SELECT *, regexp_split_to_array(trim(regexp_replace(hit_title, '(?i)\s*[-|–]\s*linkedin.*$', '')), '\s+[-–|]\s+') AS segments FROM {_SCORED} WHERE good), unnest(range(1, 20)) AS r(i) WHERE i <= len(segments))"""
+_EMPLOYER = r"(?i)^(.*?)(?:\s+@\s+|\s+at\s+|\s*,\s+)(.+)$"
+_JOBS = f"""(SELECT domain, pos, rank, arg_min(job, i) AS job FROM (SELECT *, CASE WHEN regexp_extract(raw, '{_EMPLOYER}', 1) <> '' AND {_INSIDE(_WORDS(f"regexp_extract(raw, '{_EMPLOYER}', 2)"), 'tokens')} THEN regexp_extract(raw, '{_EMPLOYER}', 1) ELSE raw END AS job FROM {_SEGMENTS})
+    WHERE len({_WORDS('job')}) > 0 AND NOT {_INSIDE(_WORDS('raw'), 'parts')} AND NOT {_INSIDE('parts', _WORDS('raw'))} AND NOT {_INSIDE(_WORDS('job'), 'tokens')} AND {_SQUASHED('job')} <> label AND lower(job) NOT IN ({_quoted(NO_ROLE)}) AND length(job) <= 80 GROUP BY 1, 2, 3)"""
+_KNOWN = f"(SELECT s.*, j.job FROM {_SCORED} s LEFT JOIN {_JOBS} j ON s.domain = j.domain AND s.pos = j.pos AND s.rank = j.rank)"
+_FOUND = f"""(SELECT domain, pos, name, name_key, count(hit_url) AS n, max(hit_error) AS failed, arg_max(struct_pack(url := url, sure := sure, said := said, job := job), sure - rank / 1000) FILTER (WHERE good) AS best FROM {_KNOWN} GROUP BY 1, 2, 3, 4)"""
+_LEAST = Settings().linkedin_min_confidence
+_NOTE = f"""CASE WHEN failed IS NOT NULL THEN 'search unavailable: ' || failed WHEN best IS NULL AND n > 0 THEN n || ' search result(s) rejected: no corroborated name match' WHEN best IS NULL THEN 'search returned no results'
+    WHEN best.sure < {_LEAST} THEN 'best candidate scored ' || format('{{:.2f}}', best.sure) || ', below the {_LEAST:.2f} threshold' ELSE '' END"""
+_MATCHED = f"(SELECT *, failed IS NULL AND coalesce(best.sure >= {_LEAST}, false) AS hit, {_NOTE} AS note FROM {_FOUND})"
+
+
+@query(f"SELECT domain, name, rank, CASE WHEN good THEN url END AS url, CASE WHEN good THEN sure END AS confidence, CASE WHEN good THEN said END AS evidence FROM {_SCORED} WHERE rank IS NOT NULL")
 def candidate_scores(spark, sf_dir):
     return _pairs(spark).select("domain", "name", "rank", "match.url", "match.confidence", F.array_join("match.evidence", "; ").alias("evidence"))
 
 
-@query()
+@query(f"SELECT domain, name, rank, CASE WHEN good THEN job END AS role FROM {_KNOWN} WHERE rank IS NOT NULL")
 def role_from_result(spark, sf_dir):
     return _pairs(spark).select("domain", "name", "rank", "match.role")
 
 
-@query()
+@query(f"SELECT domain, name_key, CASE WHEN hit THEN best.url END AS url, CASE WHEN hit THEN best.sure END AS confidence, CASE WHEN hit THEN best.said END AS evidence, CASE WHEN hit THEN best.job END AS role, note FROM {_MATCHED}")
 def best_profile_match(spark, sf_dir):
     own = _members(spark).withColumn("name_key", text.fold("name"))
-    return people.best_matches(own, fx.frame(spark, fx.HITS), Settings())
+    found = people.best_matches(own, fx.frame(spark, fx.HITS), Settings())
+    return found.select("domain", "name_key", "match.url", "match.confidence", F.array_join("match.evidence", "; ").alias("evidence"), "match.role", "note")
 
 
-@query()
+_MOST = Settings().linkedin_search_max_lookups
+_TEAM = f"""(SELECT t.*, f.best, f.note, coalesce(f.hit, false) AND t.turn <= {_MOST} AND NOT t.on_site AS hit, {_NAMED.format(_WORDS('slug'), _SQUASHED('slug'))} AS named FROM
+    (SELECT *, row_number() OVER (PARTITION BY domain, on_site ORDER BY pos) AS turn, list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda t: length(t) >= 2) AS parts, coalesce(url_decode(split_part(canon, '/in/', 2)), '') AS slug FROM
+        (SELECT m.*, v.canon IS NOT NULL AS on_site FROM (SELECT *, {_canon('linkedin_url')} AS canon FROM {fx.values(fx.MEMBERS)}) m LEFT JOIN (SELECT DISTINCT domain, {_canon('url')} AS canon FROM {fx.values(fx.VERIFIED)}) v ON m.domain = v.domain AND m.canon = v.canon)) t JOIN {_MATCHED} f USING (domain, pos))"""
+_FILLED = "hit AND coalesce(title, '') = '' AND best.job IS NOT NULL"
+_INVENTED = "CASE WHEN coalesce(linkedin_url, '') <> '' THEN 'model-supplied url discarded: not found in page HTML' END"
+
+
+@query(f"""SELECT domain, pos, name, CASE WHEN {_FILLED} THEN best.job ELSE title END AS title, CASE WHEN on_site THEN canon WHEN hit THEN best.url END AS linkedin_url, affiliation, CASE WHEN {_FILLED} THEN 'search' WHEN coalesce(title, '') <> '' THEN 'website' END AS title_source,
+    CASE WHEN on_site THEN 'website' WHEN hit THEN 'search' END AS linkedin_source, CAST(CASE WHEN on_site AND named THEN 0.95 WHEN on_site THEN 0.75 WHEN hit THEN best.sure ELSE 0 END AS DOUBLE) AS linkedin_confidence,
+    CASE WHEN on_site THEN 'url harvested from the company''s own HTML' || CASE WHEN named THEN ' and matches the person''s name' ELSE '' END WHEN hit THEN concat_ws('; ', {_INVENTED}, best.said, CASE WHEN {_FILLED} THEN 'title read from the matched search result: ' || best.job END)
+        ELSE concat_ws('; ', {_INVENTED}, CASE WHEN turn > {_MOST} THEN 'not searched: per-domain lookup budget of {_MOST} reached' ELSE nullif(note, '') END) END AS linkedin_evidence FROM {_TEAM}""")
 def resolved_team(spark, sf_dir):
-    return people.resolve_team(_members(spark), fx.frame(spark, fx.VERIFIED), fx.frame(spark, fx.HITS), Settings())
+    team = people.resolve_team(_members(spark), fx.frame(spark, fx.VERIFIED), fx.frame(spark, fx.HITS), Settings())
+    return team.withColumn("linkedin_evidence", F.array_join("linkedin_evidence", "; "))
 
 
 @query()
