@@ -386,9 +386,24 @@ def token_cost_by_model(spark, sf_dir):
     return used.withColumn("cost", extraction.cost(F.col("prompt_tokens"), F.col("completion_tokens"), F.col("model")))
 
 
-@query()
+_MESSAGES = """concat_ws('; ', CASE WHEN contains(fault, 'company_overview') THEN 'company_overview: ' || CASE WHEN json_extract_string(j, '$.company_overview') IS NULL THEN 'Field required' ELSE 'must be a meaningful sentence, not a placeholder' END END,
+    CASE WHEN contains(fault, 'team_members') THEN 'team_members: name must be between 2 and 80 characters' END, CASE WHEN contains(fault, 'self_reported_confidence') THEN 'self_reported_confidence: must be between 0 and 1' END)"""
+_SAID_WRONG = f"CASE WHEN error IS NOT NULL THEN 'llm call attempt ' || attempt || ': ' || error WHEN fault = 'json' THEN 'invalid json on attempt ' || attempt WHEN fault IS NOT NULL THEN 'schema validation failed on attempt ' || attempt || ': ' || {_MESSAGES} END"
+_GOOD_ANSWER = f"(SELECT domain, j FROM {_FAULTS} JOIN {_LAST} USING (domain) WHERE attempt = last AND error IS NULL AND fault IS NULL)"
+_ITEMS = lambda of: f"(SELECT domain, i, json_extract_string(j, '{of}')[i] AS raw FROM {_GOOD_ANSWER}, unnest(range(1, 100)) AS r(i) WHERE i <= len(json_extract_string(j, '{of}')))"
+
+
+@query(f"""SELECT e.domain, json_extract_string(j, '$.company_overview') AS company_overview, json_extract_string(j, '$.target_audience') AS target_audience, CAST(coalesce(json_extract_string(j, '$.self_reported_confidence'), '0.5') AS DOUBLE) * CASE WHEN j IS NOT NULL THEN 1 END AS confidence, emails, people, errors
+    FROM (SELECT domain, coalesce(string_agg({_SAID_WRONG}, ' | ' ORDER BY attempt) FILTER (WHERE error IS NOT NULL OR fault IS NOT NULL), '') AS errors FROM {_FAULTS} JOIN {_LAST} USING (domain) WHERE attempt <= last GROUP BY 1) e LEFT JOIN {_GOOD_ANSWER} g ON g.domain = e.domain
+    LEFT JOIN (SELECT domain, string_agg(email, ',' ORDER BY i) AS emails FROM (SELECT domain, {tidy_sql('raw')} AS email, min(i) AS i FROM {_ITEMS('$.contact_emails[*]')} WHERE {reason_sql('raw', tidy_sql('raw'))} IS NULL GROUP BY 1, 2) GROUP BY 1) m ON m.domain = e.domain
+    LEFT JOIN (SELECT domain, string_agg(name, ',' ORDER BY i) AS people FROM (SELECT domain, lower(regexp_replace(raw, '\\s+', ' ', 'g')), arg_min(regexp_replace(raw, '\\s+', ' ', 'g'), i) AS name, min(i) AS i FROM {_ITEMS('$.team_members[*].name')} GROUP BY 1, 2) GROUP BY 1) p ON p.domain = e.domain""")
 def llm_extractions(spark, sf_dir):
-    return extraction.replay(fx.frame(spark, fx.RESPONSES)).select("domain", "extraction", "errors")
+    answer = F.col("extraction")
+    names = F.array_join(F.transform(answer["team_members"], lambda m: m["name"]), ",")
+    return extraction.replay(fx.frame(spark, fx.RESPONSES)).select(
+        "domain", answer["company_overview"].alias("company_overview"), answer["target_audience"].alias("target_audience"), answer["self_reported_confidence"].alias("confidence"),
+        F.array_join(answer["contact_emails"], ",").alias("emails"), names.alias("people"), F.array_join("errors", " | ").alias("errors"),
+    )
 
 
 # --- people ------------------------------------------------------------------------------------------------------
