@@ -54,6 +54,17 @@ def extractive_answers(sites: DataFrame, settings: Settings) -> DataFrame:
     return prompts.select("domain", F.lit(1).alias("attempt"), content.alias("content"), tokens.cast("bigint").alias("prompt_tokens"), text.estimate_tokens(content).cast("bigint").alias("completion_tokens"), (tokens + text.estimate_tokens(content)).cast("bigint").alias("total_tokens"), F.lit(settings.model).alias("model"), F.lit(None).cast("string").alias("error"))
 
 
+def marked_members(found: DataFrame) -> DataFrame:
+    """The people of (domain, company_name, extraction), each with ``own``."""
+    members = found.filter("extraction is not null").select("domain", F.posexplode("extraction.team_members").alias("pos", "m")).select("domain", "pos", "m.*")
+    return people.mark_own(people.with_company(members, found.select("domain", "company_name")))
+
+
+def by_seniority(marked: DataFrame) -> DataFrame:
+    """A site's own people; ``pos`` becomes a struct that puts the most senior first, to whom the lookup budget goes."""
+    return marked.filter("own").withColumn("pos", F.struct(people.seniority_rank(F.col("title")).alias("tier"), F.col("pos").alias("place")))
+
+
 def domain_records(domains: DataFrame, pages: DataFrame, settings: Settings | None = None, responses: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
     """One record per row of ``domains`` (domain_raw, input_pos), in its order. Bad names, sites without pages or text,
     and answers that never validate give failed records."""
@@ -67,11 +78,8 @@ def domain_records(domains: DataFrame, pages: DataFrame, settings: Settings | No
     replayed = replayed.persist(StorageLevel.MEMORY_AND_DISK)
     found = rich.join(replayed, "domain", "left")
 
-    members = found.filter("extraction is not null").select("domain", "company_name", "profiles", F.posexplode("extraction.team_members").alias("pos", "m")).select("domain", "company_name", "pos", "m.*")
-    firms = found.select("domain", "company_name")
-    marked = people.mark_own(people.with_company(members.drop("company_name"), firms))
-    tier = F.struct(people.seniority_rank(F.col("title")).alias("tier"), F.col("pos").alias("place"))
-    own = marked.filter("own").withColumn("pos", tier)  # the budget goes to the most senior first
+    marked = marked_members(found)
+    own = by_seniority(marked)
     verified = found.select("domain", F.explode("profiles").alias("url"))
     resolved = people.resolve_team(own, verified, hits, settings)
     team = people.ranked_team(resolved.filter(people.has_evidence(F.col("title"), F.col("linkedin_url"))))

@@ -201,7 +201,7 @@ def search_provider(settings: Settings) -> SearchProvider | None:
     """The provider asked for if its key is there; `auto` takes the first with a key. None is ever put in for another."""
     serper = lambda: JsonSearch("https://google.serper.dev/search", {"X-API-KEY": settings.serper_api_key, "Content-Type": "application/json"}, ("organic",), ("title", "link", "snippet"), True, settings.linkedin_search_timeout)
     brave = lambda: JsonSearch("https://api.search.brave.com/res/v1/web/search", {"X-Subscription-Token": settings.brave_api_key, "Accept": "application/json"}, ("web", "results"), ("title", "url", "description"), False, settings.linkedin_search_timeout)
-    known = {"serper": (settings.serper_api_key, serper), "brave-api": (settings.brave_api_key, brave)}
+    known = {"serper": (settings.serper_api_key, serper), "brave": (settings.brave_api_key, brave), "brave-api": (settings.brave_api_key, brave)}
     if not settings.linkedin_search_enabled or settings.linkedin_search_provider == "none":
         return None
     wanted = known if settings.linkedin_search_provider == "auto" else {k: v for k, v in known.items() if k == settings.linkedin_search_provider}
