@@ -40,8 +40,13 @@ def coverage(pages: Column, target: int) -> Column:
     """Read pages against the target; thin pages count half."""
     good = F.filter(pages, lambda p: p["status"] == "ok")
     full = F.size(F.filter(good, lambda p: p["clean_chars"] >= SUBSTANTIAL_CHARS))
-    ratio = F.size(good) / F.lit(float(max(target, 1)))
-    return F.when(F.size(good) == 0, 0.0).otherwise(F.least(F.lit(1.0), F.when(full < F.size(good), ratio * (0.5 + 0.5 * full / F.size(good))).otherwise(ratio)))
+    return coverage_of_counts(F.size(good), full, target)
+
+
+def coverage_of_counts(good: Column, full: Column, target: int) -> Column:
+    """The same from the numbers of read pages and of full ones among them, which aggregate where the pages are."""
+    ratio = good / F.lit(float(max(target, 1)))
+    return F.when(good == 0, 0.0).otherwise(F.least(F.lit(1.0), F.when(full < good, ratio * (0.5 + 0.5 * full / good)).otherwise(ratio)))
 
 
 def coverage_notes(pages: Column) -> Column:
@@ -90,5 +95,9 @@ def breakdown(overview: Column, audience: Column, emails: Column, team: Column,
 
 
 def record_status(extracted: Column, pages: Column, errors: Column) -> Column:
-    failed = F.exists(pages, lambda p: p["status"] != "ok")
+    return status_of(extracted, F.exists(pages, lambda p: p["status"] != "ok"), errors)
+
+
+def status_of(extracted: Column, failed: Column, errors: Column) -> Column:
+    """The same where it is known whether any page failed."""
     return F.when(~extracted, "failed").when(failed | (F.size(errors) > 0), "partial").otherwise("success")

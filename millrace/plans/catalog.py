@@ -541,8 +541,9 @@ def search_queries(spark, sf_dir):
 @query(f"""SELECT host, CASE WHEN ok = 0 THEN 0.0 ELSE least(1.0, round(CAST(ok / 6.0 * CASE WHEN full_pages < ok THEN 0.5 + 0.5 * full_pages / ok ELSE 1.0 END AS DOUBLE), 6)) END AS coverage FROM (SELECT {HOST_SQL} AS host, count(*) FILTER (WHERE chars > 0) AS ok, count(*) FILTER (WHERE chars >= 800) AS full_pages FROM (SELECT url, length({TEXT_SQL}) AS chars FROM pages) GROUP BY 1)""")
 def source_coverage(spark, sf_dir):
     body = table(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host"), F.length(html.text_fast(F.col("html"))).alias("clean_chars"))
-    pages = body.groupBy("host").agg(F.collect_list(F.struct(F.when(F.col("clean_chars") > 0, "ok").otherwise("failed").alias("status"), "clean_chars")).alias("pages"))
-    return pages.select("host", F.round(scoring.coverage(F.col("pages"), 6), 6).alias("coverage"))
+    ok, full = F.count_if(F.col("clean_chars") > 0), F.count_if(F.col("clean_chars") >= 800)
+    counts = body.groupBy("host").agg(ok.alias("ok"), full.alias("full"))
+    return counts.select("host", F.round(scoring.coverage_of_counts(F.col("ok"), F.col("full"), 6), 6).alias("coverage"))
 
 
 def _people_of(row: DataFrame) -> Column:
@@ -577,8 +578,8 @@ def domain_status(spark, sf_dir):
     """Hosts left-joined to labelled pages; a label of low quality stands for a failed fetch."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     joined = pages.select(urls.host(F.col("url")).alias("host"), F.col("page_id").alias("doc_id")).join(labels, "doc_id", "left")
-    found = joined.groupBy("host").agg(F.collect_list(F.when(F.col("quality").isNotNull(), F.struct(F.when(F.col("quality") == 1, "ok").otherwise("failed").alias("status")))).alias("pages"))
-    return found.select("host", scoring.record_status(F.exists("pages", lambda p: p["status"] == "ok"), F.col("pages"), F.array().cast("array<string>")).alias("status"))
+    found = joined.groupBy("host").agg(F.count_if(F.col("quality") == 1).alias("ok"), F.count_if(F.col("quality") != 1).alias("failed"))
+    return found.select("host", scoring.status_of(F.col("ok") > 0, F.col("failed") > 0, F.array().cast("array<string>")).alias("status"))
 
 
 @query(f"""SELECT count(*) AS domains, count(*) FILTER (WHERE status = 'success') AS succeeded, count(*) FILTER (WHERE status = 'partial') AS partial, count(*) FILTER (WHERE status = 'failed') AS failed, CAST(sum(pages_ok) AS BIGINT) AS pages_crawled, CAST(sum(pages_ok) AS BIGINT) AS pages_attempted, CAST(0 AS BIGINT) AS pages_by_browser,
