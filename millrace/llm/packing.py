@@ -79,18 +79,27 @@ class WordTokens:
         return slot
 
     def add(self, hashes: np.ndarray, words: list[bytes]):
-        last = (1 << self.BITS) - 1
-        for h, word in zip(hashes.tolist(), words):
-            ids = self.ids_of(word)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            slot = h >> (64 - self.BITS)
-            while self.keys[slot] != 0:
-                slot = (slot + 1) & last
-            self.keys[slot], self.start[slot], self.count[slot] = h, self.used, len(ids)
-            self.used += len(ids)
-            self.entries += 1
+        """Put distinct new words into the table: each takes the first free slot from its own on."""
+        ids, counts = [], np.zeros(len(words), np.int32)
+        for i, word in enumerate(words):
+            own = self.ids_of(word)
+            counts[i] = len(own)
+            ids += own
+        used = self.used + len(ids)
+        if used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), used - len(self.flat)), np.uint32)])
+        self.flat[self.used : used] = ids
+        starts = (self.used + np.cumsum(counts) - counts).astype(np.int32)
+        last, left = np.uint64((1 << self.BITS) - 1), np.arange(len(words))
+        slot = hashes >> np.uint64(64 - self.BITS)
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            won = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[won]], self.start[slot[won]], self.count[slot[won]] = hashes[won], starts[won], counts[won]
+            left = left[self.keys[slot[left]] != hashes[left]]
+            slot[left] = (slot[left] + np.uint64(1)) & last
+        self.used = used
+        self.entries += len(words)
 
     def joined(self, joined: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per text) of texts that lie end to end."""
