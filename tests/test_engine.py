@@ -2,11 +2,12 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.config import Settings
-from millrace.functions import contacts, html, text, urls
+from millrace.functions import batches, contacts, html, text, urls
 from millrace.operators import corpus, discovery, extraction, people, scoring
 from millrace.plans import fixtures as fx
 from millrace.plans import records, report
@@ -34,6 +35,15 @@ def test_html_to_markdown():
     assert html.markdown_of("<p>a<p>b<br>c</div></x>") == "a\nb\nc"
 
 
+def test_pages_are_parsed_a_piece_at_a_time():
+    rows = [None, "", "<p>" + "é" * batches.PIECE, *[f"<title>{i}</title><p>{'word ' * 600}<a href='/{i}'>x</a>" for i in range(1500)]]
+    got = [*html.parse_page.func(iter([pa.array(rows), pa.array([], pa.string()), pa.array(rows[:1])]))]
+    assert [x for part in got for x in part.to_pylist()] == [dict(zip(("markdown", "hrefs", "title"), html.parsed(r))) for r in rows + rows[:1]]
+    assert max(len(part) for part in got) <= 400  # of 1,503 rows in a batch
+    links = [*html.resolve_links.func(iter([(pa.array(["http://a.test/b"] * 2000 + [None]), pa.array([["c" * 1000, "#x"]] * 2000 + [None]))]))]
+    assert [x for part in links for x in part.to_pylist()] == [["http://a.test/" + "c" * 1000]] * 2000 + [[]] and len(links) > 1
+
+
 def test_harvest(spark):
     pages = spark.createDataFrame([("acme.test", "u", 0, TEAM_PAGE)], "domain string, url string, page_pos int, html string")
     row = corpus.harvest_pages(corpus.parse_pages(pages), Settings().email_blocklist).first()
