@@ -5,13 +5,20 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from millrace.config import COMPANY_STOP, NAME_NOISE
+from millrace.functions.batches import by_piece
+
+#: As an object, since workers that import this module have no session to parse DDL.
+TEXTS = T.ArrayType(T.StringType())
 
 
 def let(value: Column, use) -> Column:
@@ -93,10 +100,14 @@ def decode_escapes_py(text: str) -> str:
     return html.unescape(re.sub(r"\\u([0-9a-fA-F]{4})", put, text))
 
 
-@F.pandas_udf(T.StringType())
-def decode_escapes(text: pd.Series) -> pd.Series:
-    """JSON escapes, then HTML entities (the full table of entities is not in Spark)."""
-    return text.map(lambda s: decode_escapes_py(s) if "\\u" in s or "&" in s else s, na_action="ignore")
+def decoded(texts: list[str | None] | None) -> list[str | None] | None:
+    return texts and [decode_escapes_py(s) if s and ("\\u" in s or "&" in s) else s for s in texts]
+
+
+@F.arrow_udf(TEXTS)
+def decode_escapes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """JSON escapes, then HTML entities (the full table of entities is not in Spark), of each of an array of texts."""
+    return by_piece(texts, to_arrow_type(TEXTS), decoded)
 
 
 def decode_common(text: Column) -> Column:

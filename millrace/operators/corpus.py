@@ -47,14 +47,15 @@ def remove_repeated_lines(pages: DataFrame, key: str = "domain", page: str = "ur
 
 def harvest_pages(pages: DataFrame, blocklist) -> DataFrame:
     """Adds emails, profiles and companies of each page (html, markdown, hrefs): addresses in links, html, text."""
-    decoded = pages.withColumn("html_text", text.decode_escapes("html")).withColumn("body_text", text.decode_escapes("markdown"))
+    # one function for both, since each has workers of its own
+    decoded = pages.withColumn("decoded", text.decode_escapes(F.array("html", "markdown"))).withColumns({"html_text": F.get("decoded", F.lit(0)), "body_text": F.get("decoded", F.lit(1))})
     mailto = F.transform(F.filter(F.col("hrefs"), lambda x: F.startswith(F.lower(x), F.lit("mailto:"))), lambda x: F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x))
     none = F.array().cast("array<string>")
     emails = F.concat(F.coalesce(contacts.clean_all(mailto, blocklist), none), F.coalesce(contacts.addresses_in(F.col("html_text"), blocklist), none), F.coalesce(contacts.addresses_in(F.col("body_text"), blocklist), none))
     linked = F.filter(F.transform(F.filter(F.col("hrefs"), lambda x: F.contains(F.lower(x), F.lit("linkedin.com/"))), contacts.clean_profile), lambda x: x.isNotNull())
     urls = F.array_distinct(F.concat(F.coalesce(linked, none), F.coalesce(contacts.profiles_in(F.col("html")), none), F.coalesce(contacts.profiles_in(F.col("markdown")), none)))
     out = decoded.withColumn("urls", urls).withColumn("emails", contacts.by_preference(emails))
-    return out.withColumn("profiles", F.filter("urls", lambda x: ~contacts.is_company_page(x))).withColumn("companies", F.filter("urls", contacts.is_company_page)).drop("html_text", "body_text", "urls")
+    return out.withColumn("profiles", F.filter("urls", lambda x: ~contacts.is_company_page(x))).withColumn("companies", F.filter("urls", contacts.is_company_page)).drop("decoded", "html_text", "body_text", "urls")
 
 
 def in_order(column: str, order: str) -> Column:

@@ -44,6 +44,17 @@ def test_pages_are_parsed_a_piece_at_a_time():
     assert [x for part in links for x in part.to_pylist()] == [["http://a.test/" + "c" * 1000]] * 2000 + [[]] and len(links) > 1
 
 
+def test_texts_are_decoded_a_piece_at_a_time(spark):
+    rows = [None, [None, ""], ["a&amp;b", None], ["é" * batches.PIECE, "\\u0040"], *[["x" * 4000, f"&lt;{i}"] for i in range(1000)]]
+    got = [*text.decode_escapes.func(iter([pa.array(rows)]))]
+    assert [x for part in got for x in part.to_pylist()] == [None, [None, ""], ["a&b", None], ["é" * batches.PIECE, "@"], *[["x" * 4000, f"<{i}"] for i in range(1000)]]
+    assert max(len(part) for part in got) <= 300  # of 1,004 rows in a batch
+    odd = spark.createDataFrame([(i, *x) for i, x in enumerate([(None, "", []), ("a&#64;b.test", None, None), ("", "c\\u0040d.test", [])])], "i int, html string, markdown string, hrefs array<string>")
+    harvested = corpus.harvest_pages(odd, ())
+    assert [r.emails for r in harvested.orderBy("i").collect()] == [[], ["a@b.test"], ["c@d.test"]]
+    assert harvested._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1  # one set of workers for both texts
+
+
 def test_harvest(spark):
     pages = spark.createDataFrame([("acme.test", "u", 0, TEAM_PAGE)], "domain string, url string, page_pos int, html string")
     row = corpus.harvest_pages(corpus.parse_pages(pages), Settings().email_blocklist).first()
